@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup
+from . import chat, exact_dedup, sentencepiece_bpe
 from .common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", sentencepiece_bpe.encode(F.col("text"), model_path).alias("ids"))
+    docs = docs.withColumn("decoded", sentencepiece_bpe.decode(F.col("ids"), model_path))
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -62,7 +77,7 @@ FROM n GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
