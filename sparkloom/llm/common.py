@@ -8,7 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch that Python gets at once: whole texts are long, and a batch is held in memory.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Also keeps Python's batches small in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

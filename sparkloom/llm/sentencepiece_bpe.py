@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, functions as F
 
 SPACE = "▁"
 #: Entries a worker keeps of each kind.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def _bytewise(error):
@@ -34,17 +35,21 @@ codecs.register_error("sparkloom-bytewise", _bytewise)
 
 
 class _Parts(dict):
-    """Codes of text parts as int32 bytes, computed when missing."""
+    """Codes of text parts as int32 bytes, computed when missing. Two generations: when one is full, it becomes the old one."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = np.array(self.encode(part), dtype=np.int32).tobytes()
+        found = self.old.get(part)
+        if found is None:
+            found = array("i", self.encode(part)).tobytes()
         if len(part) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
             self[part] = found
         return found
 
@@ -68,9 +73,10 @@ class MergeModel:
         reached = [p for p in self.id_of if len(p) == 1 or self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in reached:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         known = set(reached)
+        self.whole = {p: [self.id_of[p]] for p in reached}
         #: The longest shorter piece that starts a piece.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), None) for p in reached}
         self.lines = not any("\n" in p for p in self.id_of)
@@ -104,47 +110,58 @@ class MergeModel:
         return found
 
     def encode_part(self, part: str) -> list[int]:
+        whole = self.whole.get(part)
+        if whole is not None:
+            return whole
         longest: dict[int, str] = {}
-        for end, piece in self.automaton.iter(part):  # ends rise, so the last one of a start is the longest
-            longest[end + 1 - len(piece)] = piece
+        for end, (back, piece) in self.automaton.iter(part):  # ends rise, so the last one of a start is the longest
+            longest[end - back] = piece
+        shorter, fits, starts = self.shorter, self.fits.get, longest.get
         path: list[str] = []
-        at, size, failed = 0, len(part), bytearray(len(part) // 8 + 1)
-        piece = longest.get(0)
+        at, size, failed, any_failed = 0, len(part), bytearray(len(part) // 8 + 1), False
+        piece, last = starts(0), None  # last: the piece before, None where any may follow
         while at < size:
-            if piece is None and at not in longest:  # a character the model lacks: nothing merges with it
+            if piece is None:  # a character the model lacks: nothing merges with it
                 path.append(part[at])
                 at += 1
-                piece = longest.get(at)
+                piece, last = starts(at), None
                 continue
-            last = path[-1] if path and path[-1] in self.shorter else None
             while piece is not None:
+                if last is not None:
+                    fit = fits((last, piece))
+                    if fit is None:
+                        fit = self.compatible(last, piece)
+                    if not fit:
+                        piece = shorter[piece]
+                        continue
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, piece)):
-                    break
-                piece = self.shorter[piece]
+                if any_failed and failed[end >> 3] >> (end & 7) & 1:
+                    piece = shorter[piece]
+                    continue
+                break
             if piece is not None:
                 path.append(piece)
-                at += len(piece)
-                piece = longest.get(at)
+                at, last, piece = end, piece, starts(end)
                 continue
-            failed[at >> 3] |= 1 << (at & 7)
-            if not path:
-                raise ValueError("no encoding")
-            piece = path.pop()
-            at -= len(piece)
-            piece = self.shorter[piece] if piece in self.shorter else None
-            while piece is None:  # nothing shorter here: further back
+            while piece is None:  # nothing fits here: mark the position and step back
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 if not path:
                     raise ValueError("no encoding")
-                piece = path.pop()
-                at -= len(piece)
-                piece = self.shorter.get(piece)
-        ids: list[int] = []
-        for p in path:
-            i = self.id_of.get(p)
-            ids += [i] if i is not None else [self.bytes_from.get(b, self.unknown) for b in p.encode("utf-8")] if self.bytes_from else [self.unknown]
-        return ids
+                back_to = path.pop()
+                at -= len(back_to)
+                piece = shorter.get(back_to)
+            last = path[-1] if path and path[-1] in shorter else None
+        try:
+            return [self.id_of[p] for p in path]
+        except KeyError:
+            return [i for p in path for i in self._ids(p)]
+
+    def _ids(self, piece: str) -> list[int]:
+        i = self.id_of.get(piece)
+        if i is not None:
+            return [i]
+        return [self.bytes_from.get(b, self.unknown) for b in piece.encode("utf-8")] if self.bytes_from else [self.unknown]
 
     def encode(self, text: str) -> np.ndarray:
         """The codes of a whole text, without begin and end codes."""
