@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, sentencepiece_bpe
-from .common import table
+from . import chat, exact_dedup, gif, sentencepiece_bpe, url_rules, warc
+from .common import saved, table
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
@@ -76,9 +76,69 @@ FROM n GROUP BY conv_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    last = warc.read_chunks(spark, path, with_data=False).filter("last")
+    key = lambda c: F.regexp_extract(c, r"record:(-?\d+)>", 1)
+    revisit = F.col("record_type") == "revisit"
+    return last.select(
+        key("record_id").cast("long").alias("page_id"),
+        F.when(revisit, F.col("payload_length")).otherwise(F.col("n_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("sha1")).alias("payload_digest"),
+        "record_type",
+        F.when(revisit, key("refers_to").cast("long")).alias("refers_to"),
+    )
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to FROM m
+"""
+
+
+FIXED_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # a page is labelled through the document whose number ends its path
+    number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]{1,18})', 1) as bigint)")
+    bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    labelled = pages.select("url", number.alias("doc_id")).join(bad, "doc_id").select("url", "blocked")
+    return url_rules.judge(pages, labelled, FIXED_RULES)
+
+
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    media = saved(docs.select("doc_id", F.octet_length("bytes").alias("n_bytes"), gif.write_column(F.col("bytes")).alias("media")), "media")
+    rows = media.withColumn("frames", gif.frames_column(F.col("media")))
+    zeros = F.array_repeat(F.lit(0).cast("long"), 64)
+    rows = rows.select(
+        "doc_id", "n_bytes", "media",
+        F.aggregate("frames", F.lit(b""), lambda a, f: F.concat(a, f["samples"])).alias("payload"),
+        F.aggregate("frames", zeros, lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y)).alias("colours"),
+        F.size("frames").alias("n_frames"),
+        F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_cs"]).alias("duration_cs"),
+    )
+    return rows.select(
+        "doc_id",
+        F.col("n_bytes").cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr("payload", F.lit(-64))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(F.col("colours").cast("array<string>"), ",").alias("feature"),
+        "n_frames",
+        "duration_cs",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_chat_format": op5_chat_format, "op6_url_rules": op6_url_rules, "op9_gif": op9_gif}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL}
