@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, gif, sentencepiece_bpe, url_rules, warc
+from . import chat, exact_dedup, gif, packing, pii, quality, sentencepiece_bpe, url_rules, warc
 from .common import saved, table
 
 
+#: Bytes of a bin: the context of a byte-level model.
+CAPACITY_BYTES = 8192
+#: A stand-in; a deployment passes its own secret.
+PSEUDONYM_KEY = "sparkloom-demo-key"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, CAPACITY_BYTES, F.octet_length("text"), F.col("source"), F.xxhash64("text"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     if model_path is None:
         import public_tokenizers
@@ -110,6 +121,16 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labelled, FIXED_RULES)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality.scored(docs.select("doc_id", "text"), quality.training_labels(labels))
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.PASS).cast("int").alias("predicted"))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     media = saved(docs.select("doc_id", F.octet_length("bytes").alias("n_bytes"), gif.write_column(F.col("bytes")).alias("media")), "media")
@@ -137,7 +158,9 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_chat_format": op5_chat_format, "op6_url_rules": op6_url_rules, "op9_gif": op9_gif}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op2_sentencepiece, op3_exact_dedup, op4_warc, op5_chat_format, op6_url_rules, op7_pii, op8_quality, op9_gif,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
