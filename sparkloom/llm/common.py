@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
+def _test_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder (spark.checkpoint.dir); a local folder only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
     return f"{base}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
