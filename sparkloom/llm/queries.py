@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, gif, packing, pii, quality, sentencepiece_bpe, url_rules, warc
+from . import chat, exact_dedup, gif, ngram_join, packing, pii, quality, sentencepiece_bpe, url_rules, warc
 from .common import saved, table
 
 
@@ -157,9 +157,14 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_sentencepiece, op3_exact_dedup, op4_warc, op5_chat_format, op6_url_rules, op7_pii, op8_quality, op9_gif,
+        op10_ngram_join,
     )}
 
 
