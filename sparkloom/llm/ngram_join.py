@@ -10,7 +10,7 @@ Steps, each a Spark job over tables:
 1. sizes and hashes of the sets, and in how many documents each token is, counted over all; documents with the same
    set form a class, only one of which goes on;
 2. the first tokens under order 0 are dealt by token, packed. Up to SMALL documents that share one are paired, where
-   sizes and positions allow a link; of more, each is paired with up to HUBS of them;
+   sizes and positions allow a link; of more, each is paired with FEW of them, of more than LARGE with HUBS;
 3. pairs are verified: filters under all orders, then the overlap. Links give components;
 4. the documents around a hub that lie in different components are compared in blocks of bounded size: two blocks are
    a task's work, and inside, a pair already connected is skipped. So every pair that passes the filters is verified
@@ -34,7 +34,7 @@ from .graph_components import components
 SHINGLE = 5
 FREQUENT = 250_000
 BLOCK = 256
-SMALL, HUBS = 16, 16
+SMALL, FEW, LARGE, HUBS = 4, 2, 16, 16
 #: Up to so many candidate documents (8 bytes each) are broadcast to pick their texts.
 BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed at once, and tokens that a task gathers before it passes them on.
@@ -155,6 +155,16 @@ def _by_part(to: np.ndarray, rows: np.ndarray) -> dict[int, bytes]:
     return {int(to[x]): rows[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(rows)], strict=True)}
 
 
+def _planes(marks: np.ndarray) -> bytes:
+    """Numbers in order as the bytes of their differences, the low bytes first: the high ones are mostly 0 and compress in a shuffle."""
+    return np.diff(np.sort(marks), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 SIZED = np.dtype([("id", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8")])
 
 
@@ -172,7 +182,8 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
 
         def packed() -> pd.DataFrame:
             part, mark = _spread(np.concatenate(sets), parts)
-            marks, sized = _by_part(part, mark), np.array(rows, dtype=SIZED)
+            marks = {k: _planes(np.frombuffer(v, dtype=np.uint32)) for k, v in _by_part(part, mark).items()}
+            sized = np.array(rows, dtype=SIZED)
             docs_ = _by_part(_mix(sized["id"].view(np.uint64)).astype(np.int64) % parts, sized)
             keys = sorted({*marks, *docs_})
             return pd.DataFrame({"part": keys, "marks": [marks.get(k, b"") for k in keys], "docs": [docs_.get(k, b"") for k in keys]})
@@ -190,7 +201,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         sized = np.concatenate([np.frombuffer(x, dtype=SIZED) for x in group["docs"]])
-        marks, counts = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["marks"]]), return_counts=True)
+        marks, counts = np.unique(np.concatenate([_from_planes(x) for x in group["marks"]]), return_counts=True)
         many = np.flatnonzero(counts >= 8)
         many = many[np.argsort(counts[many])][-(2 * FREQUENT // parts + 1) :]
         code = int(group["part"].iloc[0]) << 32 | marks[many].astype(np.int64)
@@ -296,9 +307,11 @@ def _pairs(records: np.ndarray, a: int, b: int) -> np.ndarray:
         begin = np.flatnonzero(np.diff(group[rows], prepend=-1))
         size = np.diff([*begin, len(rows)])
         place = np.arange(len(rows)) - np.repeat(begin, size)
+        hubs = np.repeat(np.where(size > LARGE, HUBS, FEW), size)
         for h in range(HUBS):
-            hub = np.repeat(node[rows[begin + h]], size)
-            add(hub[place > h], node[rows[place > h]], int(h == 0))
+            hub = np.repeat(node[rows[np.minimum(begin + h, len(rows) - 1)]], size)
+            others = (place > h) & (hubs > h)
+            add(hub[others], node[rows[others]], int(h == 0))
     return np.concatenate(found) if found else np.zeros(0, dtype=PAIR)
 
 
