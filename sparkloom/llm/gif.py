@@ -21,6 +21,7 @@ WIDTH = 64
 #: Rows of a frame: 64 KiB of samples.
 FRAME_ROWS = 1024
 DELAY_CS = 10
+MOST_PIXELS = 1 << 26
 
 
 @dataclass
@@ -155,16 +156,19 @@ def write_gif(payload: bytes) -> bytes:
 
 
 def read_frames(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, one at a time. Data that break off end the frames; other formats raise ValueError."""
+    """The frames of a GIF, one at a time. Data that break off end the frames; other formats, and images too large for a task, raise ValueError."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
-    at = 13
-    palette = None
-    if flags & 0x80:
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large")
+
+    def colours_at(at: int, flags: int) -> tuple[np.ndarray | None, int]:
         n = 3 << (flags & 7) + 1
-        palette = np.frombuffer(data[at : at + n], dtype=np.uint8).reshape(-1, 3)
-        at += n
+        part = data[at : at + n]
+        return (np.frombuffer(part, dtype=np.uint8).reshape(-1, 3) if len(part) == n else None), at + n
+
+    palette, at = colours_at(13, flags) if flags & 0x80 else (None, 13)
     canvas = np.zeros((height, width, 3), dtype=np.uint8)
     delay = disposal = 0
     transparent = None
@@ -191,13 +195,11 @@ def read_frames(data: bytes) -> Iterator[Frame]:
             return
         left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at += 10
-        colours = palette
-        if packed & 0x80:
-            n = 3 << (packed & 7) + 1
-            colours = np.frombuffer(data[at : at + n], dtype=np.uint8).reshape(-1, 3)
-            at += n
+        colours, at = colours_at(at, packed) if packed & 0x80 else (palette, at)
         if at >= len(data) or colours is None:
             return
+        if w * h > MOST_PIXELS:
+            raise ValueError("too large")
         bits = data[at]
         body, at = sub_blocks(at + 1)
         raw = lzw_decode(body, bits, w * h)
