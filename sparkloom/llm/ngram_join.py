@@ -149,6 +149,8 @@ INDEXED = np.uint32(1 << 31)
 
 
 def _by_part(to: np.ndarray, rows: np.ndarray) -> dict[int, bytes]:
+    if not len(rows):
+        return {}
     order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
     cuts = np.flatnonzero(np.diff(to, prepend=-1))
