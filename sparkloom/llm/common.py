@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 #: Rows of a batch that Python gets at once: whole texts are long, and a batch is held in memory.
@@ -30,6 +30,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Up to so many rows of one key a table is broadcast: some 40 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import saved, shared_path
+from .common import broadcast_if_few, saved, shared_path
 
 BLOOM = {"parquet.bloom.filter.enabled#__digest": "true", "parquet.bloom.filter.expected.ndv#__digest": "200000"}
 
@@ -68,13 +68,13 @@ def exact_groups(
     best = F.min("__id") if keep == "min" else F.max("__id")
     runs = flush(docs, id_col, text_col, digest)
     level = compact(runs, keep)
-    hits = level.filter("__n > 1").select("__digest")
+    hits = broadcast_if_few(level.filter("__n > 1").select("__digest"))  # few: whole texts stay where they are read
     members = _with_digest(docs, id_col, text_col, digest).join(hits, "__digest", "left_semi")
     classes = saved(members.groupBy("__digest", "__text").agg(best.alias("__keep"), F.count(F.lit(1)).alias("__n")), "verified")
     digests = saved(
         classes.groupBy("__digest").agg(F.count(F.lit(1)).alias("__texts"), F.max("__keep").alias("__keep"), F.max("__n").alias("__n")), "groups"
     )
-    out = runs.join(digests, "__digest", "left")
+    out = runs.join(broadcast_if_few(digests), "__digest", "left")
     if digests.filter("__texts > 1").isEmpty():
         rows = out.select("__id", "__digest", F.coalesce("__keep", "__id").alias("__keep"), F.coalesce("__n", F.lit(1)).alias("__n"))
     else:  # texts that share a digest: these rows are matched on their texts
@@ -96,5 +96,5 @@ def exact_groups(
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    gone = groups.filter("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = saved(groups.filter("not kept").select(F.col(id_col).alias("__gone")), "copies")
+    return docs.join(broadcast_if_few(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

@@ -28,15 +28,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import broadcast_if_few, saved
 from .graph_components import components
 
 SHINGLE = 5
 FREQUENT = 250_000
 BLOCK = 256
 SMALL, FEW, LARGE, HUBS = 4, 2, 16, 16
-#: Up to so many candidate documents (8 bytes each) are broadcast to pick their texts.
-BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed at once, and tokens that a task gathers before it passes them on.
 TEXT_BYTES, GATHERED = 1 << 20, 2_000_000
 #: Target bytes of a part of the dealt tokens.
@@ -443,7 +441,7 @@ def near_groups(
     edges = saved(edges, "candidate-pairs")
 
     ids = saved(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct(), "candidates")
-    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    picked = broadcast_if_few(ids)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -489,4 +487,4 @@ def near_groups(
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest identifier. Rows with a null identifier stay."""
     gone = near_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(saved(gone, "near-copies"), docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_few(saved(gone, "near-copies")), docs[id_col] == F.col("__gone"), "left_anti")
