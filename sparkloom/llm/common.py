@@ -39,6 +39,21 @@ def broadcast_if_few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose identifier is not in the one column of gone, a written table. Rows with a null identifier stay."""
+    name = fresh(df, "gone_id")
+    gone = broadcast_if_few(gone.toDF(name))
+    return df.join(gone, df[id_col] == gone[name], "left_anti")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import broadcast_if_few, saved, shared_path
+from .common import broadcast_if_few, saved, shared_path, without
 
 BLOOM = {"parquet.bloom.filter.enabled#__digest": "true", "parquet.bloom.filter.expected.ndv#__digest": "200000"}
 
@@ -94,7 +94,6 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Rows with a null identifier stay too."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    gone = saved(groups.filter("not kept").select(F.col(id_col).alias("__gone")), "copies")
-    return docs.join(broadcast_if_few(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, id_col, saved(groups.filter("not kept").select(id_col), "copies"))

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_few, saved
+from .common import broadcast_if_few, saved, without
 from .graph_components import components
 
 SHINGLE = 5
@@ -486,5 +486,5 @@ def near_groups(
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest identifier. Rows with a null identifier stay."""
-    gone = near_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(broadcast_if_few(saved(gone, "near-copies")), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col)
+    return without(docs, id_col, saved(gone, "near-copies"))

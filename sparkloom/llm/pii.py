@@ -4,7 +4,8 @@ Personal numbers and dates are found by pattern and validated (Luhn digit, octet
 then permuted within their format by a keyed Feistel network, so equal values keep equal pseudonyms in all
 documents and no two values share one. Of kinds whose valid values form a range (addresses, social security
 numbers, dates) the two halves are numbers; of the others (cards, phones, e-mail addresses, secrets) they are
-strings in which a digit stays a digit and a letter a letter of its case. Cards get a new check digit.
+strings in which a digit stays a digit and a letter a letter of its case, and hexadecimal secrets stay hexadecimal.
+Cards get a new check digit.
 
 A text is split at its matches and put together again with the pseudonyms between; texts without a digit or @ are
 left as they are after one look.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 ROUNDS = 10
 EMAIL = r"[\p{L}\p{Nd}][\p{L}\p{Nd}._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
@@ -50,6 +53,11 @@ def permute_pair(key: str, kind: str, a: Column, b: Column, size_a: int, size_b:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), turn)
 
 
+def _shift_hex(c: Column, by: Column) -> Column:
+    digits = F.lit("0123456789abcdef")
+    return F.substr(digits, (F.instr(digits, c) - 1 + by) % 16 + 1, F.lit(1))
+
+
 def _shift(c: Column, by: Column) -> Column:
     def within(first: str, size: int) -> Column:
         return F.chr(F.lit(ord(first)) + (F.ascii(c) - ord(first) + by) % size)
@@ -57,7 +65,7 @@ def _shift(c: Column, by: Column) -> Column:
     return F.when(c.between("0", "9"), within("0", 10)).when(c.between("a", "z"), within("a", 26)).otherwise(within("A", 26))
 
 
-def permute_text(key: str, kind: str, text: Column) -> Column:
+def permute_text(key: str, kind: str, text: Column, shift=_shift) -> Column:
     """A keyed permutation of the strings of ASCII letters and digits that have text's pattern of digits and cases."""
     half = F.floor(F.char_length(text) / 2).cast("int")
 
@@ -66,7 +74,7 @@ def permute_text(key: str, kind: str, text: Column) -> Column:
             blocks = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(x) / 16).cast("int")), lambda i: _noise(key, kind, k, other, i))
             shifted = F.transform(
                 F.filter(F.split(x, ""), lambda c: c != ""),
-                lambda c, i: _shift(c, _number(F.substr(F.array_join(blocks, ""), i * 4 + 1, F.lit(4))).cast("int")),
+                lambda c, i: shift(c, _number(F.substr(F.array_join(blocks, ""), i * 4 + 1, F.lit(4))).cast("int")),
             )
             return F.array_join(shifted, "")
 
@@ -174,6 +182,11 @@ def _date(key: str, m: Column) -> Column:
     return _let(iso, changed)
 
 
+def _hex(key: str, m: Column) -> Column:
+    new = permute_text(key, "hex", F.lower(m), _shift_hex)
+    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of a match of ANY; itself if it isn't valid."""
     return (
@@ -183,21 +196,23 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(m.rlike("^" + SSN + "$"), _ssn(key, m))
         .when(m.rlike("^" + DATE + "$"), _date(key, m))
         .when(m.rlike("^" + CARD + "$"), _card(key, m))
+        .when(m.rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), _hex(key, m))
         .when(m.rlike("^[A-Za-z0-9]{20,}$"), permute_text(key, "secret", m))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with pseudonyms in text_col and a column n_replaced (a column of that name before is replaced).
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
+    """docs with pseudonyms in text_col, and the number of replaced values in count_col (in place of a column of that name).
 
     Null texts stay null, with 0 replaced; empty texts and texts without valid matches stay as they are. Every other
     column is kept. Equal values under one key have equal pseudonyms; the key is as secret as the values.
     """
-    text = F.col(text_col)
-    found = docs.withColumn("__found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(key, m)))
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"] != z["__new"])), F.lit(0))
-    found = found.withColumn("n_replaced", F.when(F.col("__found").isNull(), 0).otherwise(changed))
-    joined = F.array_join(F.transform(F.split(text, ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
-    return found.withColumn(text_col, F.when(F.col("n_replaced") > 0, joined).otherwise(text)).drop("__found", "__new")
+    text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "new")
+    found = docs.withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
+    both = F.arrays_zip(F.col(old).alias("x"), F.col(new).alias("y"))
+    changed = F.coalesce(F.size(F.filter(both, lambda z: z["x"] != z["y"])), F.lit(0))
+    found = found.withColumn(count_col, F.when(F.col(old).isNull(), 0).otherwise(changed))
+    joined = F.array_join(F.transform(F.split(text, ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
+    return found.withColumn(text_col, F.when(F.col(count_col) > 0, joined).otherwise(text)).drop(old, new)

@@ -83,10 +83,12 @@ def _head(fields: list[tuple[str, object]], size: int) -> bytes:
 
 def write(records: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 1000, chunk_bytes: int = CHUNK) -> None:
     """Archive records under path. Identifiers are unique integers; null urls and payloads are empty.
+    Rows without an identifier can't be named in an archive and have no record. Other columns are not looked at.
 
     Of records with equal payloads of at least min_bytes bytes the one with the largest identifier is a response, the
     others revisit it; smaller ones are responses. An empty table gives an archive without records.
     """
+    records = records.filter(F.col(id_col).isNotNull()).select(id_col, url_col, payload_col)
     light = decide(saved(digests(chunk_rows(records, id_col, F.col(payload_col), chunk_bytes), id_col), "digests"), id_col, min_bytes)
     plan = light.select(F.col(id_col).alias("__id"), "digest", "refers_to")
     rows = records.select(F.col(id_col), F.coalesce(F.col(url_col), F.lit("")).alias("__url"), F.col(payload_col).alias("__payload"))

@@ -86,6 +86,14 @@ def test_equal_values_stay_linked_and_others_apart(spark):
     assert run(spark, [cards[0]], "other")[0] != [out[0]]
 
 
+def test_secrets_keep_their_alphabet(spark):
+    low = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    (a, b, c, plain), counts = run(spark, [f'token = "{low}"', f"key: {low.upper()}", "secret=Ab1" + "xY9" * 9, f"commit {low}"])
+    assert counts == [1, 1, 1, 0] and plain == f"commit {low}"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', a) and re.fullmatch("key: [0-9A-F]{40}", b) and a[9:49].upper() == b[5:] and low not in a
+    assert re.fullmatch(r"secret=[A-Z][a-z]\d([a-z][A-Z]\d){9}", c)
+
+
 def test_two_cards_side_by_side_and_forms(spark):
     (two, dates, grouped), counts = run(spark, ["7536784127813050 4845168114407329", "31.12.1999 12/31/1999 1999-12-31", "4111 1111 1111 1111"])
     assert counts == [2, 3, 1] and re.fullmatch(r"\d{16} \d{16}", two) and all(map(luhn, two.split()))

@@ -36,3 +36,19 @@ def test_empty_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in C.STAGES[1:]:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 20")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (900, None, None, None, None), (None, "a b c d e 129.38.82.176", None, None, None)], docs.schema)
+    clash = "gone_id found new __x x id a n_replaced component_id keep_id digest tokens size piece bin_id score label".split()
+    docs = docs.unionByName(nulls).withColumns({c: F.lit("kept") for c in clash})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        assert all(r[c] == "kept" for r in out.select(*clash).collect() for c in clash), name
+    whole = {(r["doc_id"], r["text"]) for r in C.drop_copies(spark, docs, small).select("doc_id", "text").collect()}
+    assert {(None, None), (None, "a b c d e 129.38.82.176"), (900, None)} <= whole
+    assert {r["doc_id"] for r in C.pack_bins(spark, docs, small).collect()} == {r["doc_id"] for r in docs.collect()}
