@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import exact_dedup, ngram_join, packing, pii, quality
-from sparkloom.llm.common import saved, table
+from sparkloom.llm.common import fresh, saved, table
 from sparkloom.llm.queries import CAPACITY_BYTES, PSEUDONYM_KEY
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     ranking = quality.learnt(docs, quality.training_labels(table(spark, sf_dir, "labels")))
-    scored = docs.withColumn("__x", quality.features(F.col("text")))
-    return scored.filter(ranking.score(F.col("__x")) >= quality.PASS).drop("__x")
+    x = fresh(docs, "features")
+    scored = docs.withColumn(x, quality.features(F.col("text")))
+    return scored.filter(ranking.score(F.col(x)) >= quality.PASS).drop(x)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms for personal numbers and dates; n_chars follows the text where it changed."""
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY)
-    length = F.when(F.col("n_replaced") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    n = fresh(docs, "replaced")
+    out = pii.pseudonymise(docs, PSEUDONYM_KEY, count_col=n)
+    length = F.when(F.col(n) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns)
 
 
