@@ -155,14 +155,15 @@ def _by_part(to: np.ndarray, rows: np.ndarray) -> dict[int, bytes]:
     return {int(to[x]): rows[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(rows)], strict=True)}
 
 
-def _planes(marks: np.ndarray) -> bytes:
-    """Numbers in order as the bytes of their differences, the low bytes first: the high ones are mostly 0 and compress in a shuffle."""
-    return np.diff(np.sort(marks), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in order as the bytes of their differences, the low bytes first: the high ones are mostly 0 and compress in a shuffle."""
+    numbers = np.sort(numbers)
+    return np.diff(numbers, prepend=numbers.dtype.type(0)).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+def _from_planes(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 SIZED = np.dtype([("id", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8")])
@@ -383,7 +384,7 @@ def _verified(rows: DataFrame, a: int, b: int, orders: int, frequent: Frequent)
             for k, side, doc, part, raw in zip(batch["key"], batch["side"], batch["id"], batch["part"], batch["tokens"], strict=True):
                 if k != key:
                     key, left, block, joined = k, [], None, {}
-                tokens = np.frombuffer(raw, dtype=np.uint64)
+                tokens = _from_planes(raw, np.uint64)
                 if side == 0:
                     left.append((doc, part, tokens))
                     continue
@@ -445,7 +446,7 @@ def near_groups(
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [s.tobytes() for s in shingle_sets(batch["text"].tolist())]})
+            yield pd.DataFrame({"id": batch["id"], "tokens": [_planes(s) for s in shingle_sets(batch["text"].tolist())]})
 
     chosen = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(picked.withColumnRenamed("a", "id"), "id", "left_semi")
     held = saved(chosen.mapInPandas(tokens, "id long, tokens binary"), "sets")

@@ -68,6 +68,8 @@ def test_hashes_follow_the_words():
 def test_marks_survive_packing(seed):
     marks = np.random.default_rng(seed).integers(0, 2**32, seed * 50 + 1, dtype=np.uint32)
     assert (J._from_planes(J._planes(marks)) == np.sort(marks)).all()
+    tokens = np.random.default_rng(seed).integers(0, 2**64, seed * 50, dtype=np.uint64)
+    assert (J._from_planes(J._planes(tokens), np.uint64) == np.sort(tokens)).all()
 
 
 @pytest.mark.parametrize("n", range(1, 60))
