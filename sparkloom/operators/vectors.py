@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Up to so many query vectors are broadcast; beyond, they are joined by blocks of the corpus.
+from sparkloom.sources.shared import saved
+
+#: Up to so many query vectors are broadcast at once; more are dealt into blocks, and each block meets all rows in turn.
 BROADCAST_QUERIES = 10_000
 
 
@@ -22,11 +26,27 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     """(query_id, key, distance, rn): the k nearest rows of each query, ties by key.
 
     A stated, small set of queries meets all rows: it's broadcast after a check of its size. Each task keeps the
-    best k of what it has seen before rows are shuffled by query.
+    best k of what it has seen before rows are shuffled by query. A larger set is numbered and cut into blocks of at
+    most BROADCAST_QUERIES; the rows of a block are written before the next one is broadcast.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
-    if q.count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: split them into runs")
+    n = q.count()
+    if n <= BROADCAST_QUERIES:
+        return _nearest(corpus, q, k, key, vector)
+    # numbers without a gap: row numbers within parts, and the parts' counts added up on the driver
+    parts = saved(q.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "queries")
+    first, begins = 0, []
+    for r in parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("low")).orderBy("__part").collect():
+        begins.append((r["__part"], first - r["low"]))
+        first += r["n"]
+    shift = q.sparkSession.createDataFrame(begins, "__part int, __shift long")
+    number = F.floor((F.col("__id") + F.col("__shift")) / BROADCAST_QUERIES)
+    numbered = saved(parts.join(F.broadcast(shift), "__part").select("query_id", "__q", number.alias("__block")), "blocks")
+    found = [saved(_nearest(corpus, numbered.filter(F.col("__block") == i).drop("__block"), k, key, vector), "nearest") for i in range(-(-n // BROADCAST_QUERIES))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(corpus: DataFrame, q: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     pairs = corpus.join(F.broadcast(q)).select("query_id", key, l2(F.col(vector), F.col("__q")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)

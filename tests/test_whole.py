@@ -4,6 +4,7 @@ import tempfile
 from itertools import combinations
 
 from sparkloom import catalogue
+from sparkloom.operators import vectors
 
 REGISTRY = catalogue.load()
 
@@ -34,3 +35,12 @@ def test_graphs_take_lines_of_every_quantity(spark):
     two = {y for x in near[1] for y in near[x]} - near[1] - {1}
     assert rows(spark, "graph_hops_2_whole", d) == sorted([(x, 1) for x in near[1]] + [(x, 2) for x in two])
     assert [(a, b, len(near[a] & near[b])) for a, b in edges] == [r[:3] for r in rows(spark, "graph_adamic_adar_whole", d)]
+
+
+def test_more_queries_than_a_broadcast_takes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 7)
+    points = {i: [float(i * i % 37), float(i * 5 % 23)] for i in range(60)}
+    v = spark.createDataFrame(list(points.items()), "vec_id long, embedding array<float>").repartition(5)
+    got = {(r["query_id"], r["rn"]): r["vec_id"] for r in vectors.top_k(v, v.filter("vec_id % 3 = 0"), 4).collect()}
+    near = {q: sorted((sum((x - y) ** 2 for x, y in zip(points[q], p)), i) for i, p in points.items()) for q in range(0, 60, 3)}
+    assert got == {(q, n): near[q][n - 1][1] for q in near for n in range(1, 5)}
