@@ -70,6 +70,13 @@ def question_promotion(spark, d):
     return q.agg(F.count(F.lit(1)).alias("hits"), F.min("conv_id").alias("first_seen")).filter("hits >= 2")
 
 
+@query("SELECT lower(trim(text)) AS question, count(*) AS hits, min(conv_id) AS first_seen FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+def question_promotion_whole(spark, d):
+    """Repeated questions, each its whole text; question_promotion groups by the first word, as its SQL does."""
+    q = read(spark, d, "conversations").filter("role = 'user' and text is not null").groupBy(F.lower(F.trim("text")).alias("question"))
+    return q.agg(F.count(F.lit(1)).alias("hits"), F.min("conv_id").alias("first_seen")).filter("hits >= 2")
+
+
 @query("SELECT event_id AS schedule_id, ts AS next_run FROM events WHERE value > 5 AND ts <= TIMESTAMP '2024-01-05' ORDER BY ts, event_id LIMIT 50")
 def schedule_due(spark, d):
     rows = read(spark, d, "events").select(F.col("event_id").alias("schedule_id"), F.col("ts").alias("next_run"), (F.col("value") > 5).alias("active"))

@@ -44,3 +44,9 @@ def test_more_queries_than_a_broadcast_takes(spark, monkeypatch):
     got = {(r["query_id"], r["rn"]): r["vec_id"] for r in vectors.top_k(v, v.filter("vec_id % 3 = 0"), 4).collect()}
     near = {q: sorted((sum((x - y) ** 2 for x, y in zip(points[q], p)), i) for i, p in points.items()) for q in range(0, 60, 3)}
     assert got == {(q, n): near[q][n - 1][1] for q in near for n in range(1, 5)}
+
+
+def test_questions_are_whole_texts(spark):
+    turns = [(1, 0, "user", "How many parts?"), (2, 0, "user", " how many PARTS? "), (3, 0, "user", "How many orders?"), (4, 0, "assistant", "How many orders?"), (5, 0, "user", None), (6, 0, "user", None)]
+    d = folder(spark, conversations=("conv_id long, turn long, role string, text string", turns))
+    assert rows(spark, "question_promotion_whole", d) == [("how many parts?", 2, 1)]
