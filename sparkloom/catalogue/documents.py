@@ -40,6 +40,14 @@ def doc_title_overlap(spark, d):
     return rows.groupBy("title").agg(F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
 
 
+@query(r"SELECT k AS title, count(DISTINCT page_id) AS docs FROM (SELECT page_id, lower(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[^\p{L}\p{N}]', '', 'g')) AS k FROM pages) WHERE k <> '' GROUP BY 1 HAVING count(DISTINCT page_id) > 1")
+def doc_title_overlap_whole(spark, d):
+    """Whole titles that pages share; doc_title_overlap compares the first 40 characters of documents, as its SQL does."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    rows = read(spark, d, "pages").select("page_id", text.title_key(title).alias("title")).filter("title <> ''")
+    return rows.groupBy("title").agg(F.count_distinct("page_id").alias("docs")).filter("docs > 1")
+
+
 TERMS = ["red", "blue", "widget", "ring", "bolt", "small", "sm", "or"]
 
 

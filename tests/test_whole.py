@@ -50,3 +50,10 @@ def test_questions_are_whole_texts(spark):
     turns = [(1, 0, "user", "How many parts?"), (2, 0, "user", " how many PARTS? "), (3, 0, "user", "How many orders?"), (4, 0, "assistant", "How many orders?"), (5, 0, "user", None), (6, 0, "user", None)]
     d = folder(spark, conversations=("conv_id long, turn long, role string, text string", turns))
     assert rows(spark, "question_promotion_whole", d) == [("how many parts?", 2, 1)]
+
+
+def test_titles_are_whole(spark):
+    long = "The yearly report on the deliveries of all suppliers"
+    html = [f"<title>{long} 2024</title>", f"<html><TITLE lang='en'>{long.upper()}:\n2024</TITLE>", f"<title>{long} 2025</title>", "<title> </title>", "<title></title>", "<p>none</p>", None]
+    d = folder(spark, pages=("page_id long, url string, html string", [(i, "", h) for i, h in enumerate(html)]))
+    assert rows(spark, "doc_title_overlap_whole", d) == [("theyearlyreportonthedeliveriesofallsuppliers2024", 2)]
