@@ -115,6 +115,19 @@ def vec_filtered_topk(spark, d):
     return vectors.top_k(vectors.allowed(v, label=[1, 3]), v.filter("vec_id % 100 = 7"), 5).withColumn("distance", F.round("distance", 4))
 
 
+# the searches of the review: every row whose identifier is divisible by 20
+@query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rn <= 5")
+def vec_topk_l2_whole(spark, d):
+    v = read(spark, d, "embeddings")
+    return vectors.top_k(v, v.filter("vec_id % 20 = 0"), 5, places=4)
+
+
+@query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3)) WHERE rn <= 5")
+def vec_filtered_topk_whole(spark, d):
+    v = read(spark, d, "embeddings")
+    return vectors.top_k(vectors.allowed(v, label=[1, 3]), v.filter("vec_id % 20 = 0"), 5, places=4)
+
+
 @query(f"SELECT e.vec_id, round(1 / (1 + {L2}), 3) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 3")
 def vec_score(spark, d):
     v = read(spark, d, "embeddings")

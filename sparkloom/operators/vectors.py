@@ -22,8 +22,8 @@ def score(distance: Column) -> Column:
     return F.when(bad, 0.0).otherwise(F.round(1 / (1 + F.greatest(distance, F.lit(0.0))), 4))
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, distance, rn): the k nearest rows of each query, ties by key.
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
+    """(query_id, key, distance, rn): the k nearest rows of each query, ties by key; with places, by the distance rounded to so many.
 
     A stated, small set of queries meets all rows: it's broadcast after a check of its size. Each task keeps the
     best k of what it has seen before rows are shuffled by query. A larger set is numbered and cut into blocks of at
@@ -32,7 +32,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
     n = q.count()
     if n <= BROADCAST_QUERIES:
-        return _nearest(corpus, q, k, key, vector)
+        return _nearest(corpus, q, k, key, vector, places)
     # numbers without a gap: row numbers within parts, and the parts' counts added up on the driver
     parts = saved(q.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "queries")
     first, begins = 0, []
@@ -42,12 +42,12 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     shift = q.sparkSession.createDataFrame(begins, "__part int, __shift long")
     number = F.floor((F.col("__id") + F.col("__shift")) / BROADCAST_QUERIES)
     numbered = saved(parts.join(F.broadcast(shift), "__part").select("query_id", "__q", number.alias("__block")), "blocks")
-    found = [saved(_nearest(corpus, numbered.filter(F.col("__block") == i).drop("__block"), k, key, vector), "nearest") for i in range(-(-n // BROADCAST_QUERIES))]
+    found = [saved(_nearest(corpus, numbered.filter(F.col("__block") == i).drop("__block"), k, key, vector, places), "nearest") for i in range(-(-n // BROADCAST_QUERIES))]
     return reduce(DataFrame.unionByName, found)
 
 
-def _nearest(corpus: DataFrame, q: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    pairs = corpus.join(F.broadcast(q)).select("query_id", key, l2(F.col(vector), F.col("__q")).alias("distance"))
+def _nearest(corpus: DataFrame, q: DataFrame, k: int, key: str, vector: str, places: int | None) -> DataFrame:
+    pairs = corpus.join(F.broadcast(q)).select("query_id", key, (l2(F.col(vector), F.col("__q")) if places is None else F.round(l2(F.col(vector), F.col("__q")), places)).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 

@@ -57,3 +57,13 @@ def test_titles_are_whole(spark):
     html = [f"<title>{long} 2024</title>", f"<html><TITLE lang='en'>{long.upper()}:\n2024</TITLE>", f"<title>{long} 2025</title>", "<title> </title>", "<title></title>", "<p>none</p>", None]
     d = folder(spark, pages=("page_id long, url string, html string", [(i, "", h) for i, h in enumerate(html)]))
     assert rows(spark, "doc_title_overlap_whole", d) == [("theyearlyreportonthedeliveriesofallsuppliers2024", 2)]
+
+
+def test_every_identifier_divisible_by_20_is_searched(spark):
+    d = folder(spark, embeddings=("vec_id long, embedding array<float>, label int", [(i, [float(i * i % 97), float(i % 13)], i % 5) for i in range(130)]))
+    for name, labels in (("vec_topk_l2_whole", range(5)), ("vec_filtered_topk_whole", (1, 3))):
+        got = {(r["query_id"], r["rn"]): r["vec_id"] for r in REGISTRY.queries[name](spark, d).collect()}
+        for q in range(0, 130, 20):
+            near = sorted(((q * q % 97 - i * i % 97) ** 2 + (q % 13 - i % 13) ** 2, i) for i in range(130) if i % 5 in labels)
+            assert [got.pop((q, n)) for n in range(1, 6)] == [i for _, i in near[:5]]
+        assert not got
