@@ -11,13 +11,15 @@ Steps, each a Spark job over tables:
    set form a class, only one of which goes on;
 2. the first tokens under order 0 are dealt by token, packed. Up to SMALL documents that share one are paired, where
    sizes and positions allow a link; of more, each is paired with FEW of them, of more than LARGE with HUBS;
+   A token of more than HOT documents is not dealt: its records stay rows where they are, which meet the token's hubs;
 3. pairs are verified: filters under all orders, then the overlap. Links give components;
 4. the documents around a hub that lie in different components are compared in blocks of bounded size: two blocks are
    a task's work, and inside, a pair already connected is skipped. So every pair that passes the filters is verified
    or known to be connected, and no link between components is lost.
 
 A group's size bounds nothing but the number of blocks. Only counts, and the list of the most frequent tokens, which
-has at most FREQUENT entries whatever the corpus, pass through the driver.
+has at most FREQUENT entries whatever the corpus, pass through the driver. A token of more than HOT documents is known
+as such if it is in that list; one that is not has at most as many documents as the last one in it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import broadcast_if_few, saved, without
 from .graph_components import components
@@ -39,6 +41,8 @@ SMALL, FEW, LARGE, HUBS = 4, 2, 16, 16
 TEXT_BYTES, GATHERED = 1 << 20, 2_000_000
 #: Target bytes of a part of the dealt tokens.
 PART_BYTES = 32 << 20
+#: The records of a token of more documents are not gathered in one group: they stay rows, and only their sizes and hubs are.
+HOT = 1 << 16
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -120,6 +124,14 @@ class Frequent:
         ranks[order] = np.arange(len(codes), dtype=np.uint64)
         by_code = np.argsort(codes)
         self.codes, self.ranks, self.parts = codes[by_code], ranks[by_code], parts
+        self.hot_codes = np.sort(codes[counts > HOT])
+
+    def hot(self, part: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Which of these tokens have more than HOT documents."""
+        if not len(self.hot_codes):
+            return np.zeros(len(part), dtype=bool)
+        codes = part << 32 | mark
+        return self.hot_codes[np.minimum(np.searchsorted(self.hot_codes, codes), len(self.hot_codes) - 1)] == codes
 
     def last(self, tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """keys, with those of frequent tokens behind all others."""
@@ -142,6 +154,11 @@ def prefix(tokens: np.ndarray, order: int, size: int, frequent: Frequent) -> tup
     return keys[first], tokens[first]
 
 
+def _rank(node: np.ndarray) -> np.ndarray:
+    """An order of documents that is the same under every token."""
+    return _mix(node.view(np.uint64) ^ _SALTS[1])
+
+
 RECORD = np.dtype([("mark", "<u4"), ("n", "<u4"), ("node", "<i8")])
 INDEXED = np.uint32(1 << 31)
 
@@ -220,7 +237,7 @@ def _frequent(measured: DataFrame, parts: int) -> Frequent:
 
 
 def _dealt(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent: Frequent) -> DataFrame:
-    """(part, packed): records of the first tokens under order 0, for each task and part."""
+    """(part, packed): records of the first tokens under order 0, for each task and part; those of hot tokens are in _hot_records."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered: list[np.ndarray] = []
@@ -243,8 +260,9 @@ def _dealt(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent:
                 record = np.zeros(len(tokens), dtype=RECORD)
                 record["mark"], record["n"], record["node"] = mark, len(s), node
                 record["n"][: _index_size(len(s), a, b)] |= INDEXED
-                gathered.append(record)
-                where.append(part)
+                cold = ~frequent.hot(part, mark)
+                gathered.append(record[cold])
+                where.append(part[cold])
                 n += len(tokens)
             if n >= GATHERED:
                 yield packed()
@@ -255,6 +273,74 @@ def _dealt(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent:
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part int, packed binary")
 
 
+HOT_RECORD = np.dtype([("code", "<i8"), ("n", "<i8"), ("indexed", "?"), ("node", "<i8"), ("rank", "<i8")])
+
+
+def _hot_records(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent: Frequent) -> DataFrame:
+    """(code, n, indexed, node, rank): the records of hot tokens as rows. rank orders the documents in the same way under every token."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gathered: list[np.ndarray] = []
+        seen: set[int] = set()
+        n = 0
+        for batch in batches:
+            for s in shingle_sets(batch["text"].tolist()):
+                node = _hash_sum(s, 1)
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                _, tokens = prefix(s, 0, _prefix_size(len(s), a, b), frequent)
+                part, mark = _spread(tokens, parts)
+                at = np.flatnonzero(frequent.hot(part, mark))
+                if len(at):
+                    record = np.zeros(len(at), dtype=HOT_RECORD)
+                    record["code"], record["n"], record["indexed"], record["node"] = (part << 32 | mark)[at], len(s), at < _index_size(len(s), a, b), node
+                    record["rank"] = (_rank(record["node"].copy()) ^ _U(1 << 63)).view(np.int64)  # the order of signed numbers
+                    gathered.append(record)
+                    n += len(at)
+                if n >= GATHERED // 8:
+                    yield pd.DataFrame(np.concatenate(gathered))
+                    gathered, seen, n = [], set(), 0
+            if len(seen) > GATHERED // 8:
+                seen = set()
+        if gathered:
+            yield pd.DataFrame(np.concatenate(gathered))
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code long, n long, indexed boolean, node long, rank long")
+
+
+def _size_groups(sizes: pd.DataFrame, a: int, b: int) -> pd.DataFrame:
+    """The groups of one token that _pairs would make, from how many records (k) it has of each size (n), indexed or not: (code, n, indexed, first), first the smallest size of the group."""
+    sizes = sizes.sort_values(["n", "indexed"], ascending=[True, False])
+    n, indexed, k = sizes["n"].to_numpy(), sizes["indexed"].to_numpy(bool), sizes["k"].to_numpy()
+    for again in range(3):
+        starts = np.ones(len(n), dtype=bool)
+        starts[1:] = n[:-1] * b < a * n[1:]
+        begins, group = np.flatnonzero(starts), np.cumsum(starts) - 1
+        if again == 2 or not len(n):
+            break
+        last = np.maximum.accumulate(np.where(indexed, np.arange(len(n)), -1))
+        kept = indexed | ((last >= begins[group]) & (n[np.maximum(last, 0)] * b >= a * n))
+        kept &= np.bincount(group, weights=kept * k)[group] > 1
+        n, indexed, k = n[kept], indexed[kept], k[kept]
+    return pd.DataFrame({"code": int(sizes["code"].iloc[0]), "n": n, "indexed": indexed, "first": n[begins[group]] if len(n) else n})
+
+
+def _hot_pairs(records: DataFrame, a: int, b: int) -> DataFrame:
+    """(a, b, around): the pairs of hot tokens' records, a written table. Each group's HUBS documents of the smallest rank
+    are found by partial aggregation and meet its records wherever those are."""
+    sizes = records.groupBy("code", "n", "indexed").agg(F.count(F.lit(1)).alias("k"))
+    groups = saved(sizes.groupBy("code").applyInPandas(lambda g: _size_groups(g, a, b), "code long, n long, indexed boolean, first long"), "hot-groups")
+    grouped = records.join(broadcast_if_few(groups), ["code", "n", "indexed"])
+    # copies of a document in several tasks have the same rank
+    w = Window.partitionBy("code", "first").orderBy("rank")
+    hubs = grouped.select("code", "first", "rank", "node").withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= HUBS)
+    hubs = hubs.groupBy("code", "first").agg(F.array_sort(F.collect_set(F.struct("rank", "node"))).alias("hubs"))
+    hubs = saved(hubs, "hot-hubs")
+    met = grouped.join(broadcast_if_few(hubs), ["code", "first"]).select("rank", "node", F.posexplode("hubs").alias("place", "hub")).filter(F.col("hub.rank") < F.col("rank"))
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), (F.col("place") == 0).cast("long").alias("around"))
+
+
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("around", "<i8")])
 
 
@@ -292,7 +378,7 @@ def _pairs(records: np.ndarray, a: int, b: int) -> np.ndarray:
         rows["a"], rows["b"], rows["around"] = x, y, around
         found.append(rows[x != y])
 
-    rank = _mix(node.view(np.uint64) ^ _SALTS[1])
+    rank = _rank(node)
     small = np.flatnonzero(sizes[group] <= SMALL)
     for d in range(1, SMALL):
         at = small[small + d < len(mark)]
@@ -426,16 +512,13 @@ def near_groups(
     frequent = _frequent(measured, parts)
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
-        found = _once(_pairs(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in group["packed"]]), a, b))
-        by_hub = _by_part((_mix(found["a"].view(np.uint64)) % _U(parts)).astype(np.int64), found)
-        return pd.DataFrame({"part": list(by_hub), "packed": list(by_hub.values())})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_once(np.concatenate([np.frombuffer(x, dtype=PAIR) for x in group["packed"]])))
+        return pd.DataFrame(_once(_pairs(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in group["packed"]]), a, b)))
 
     dealt = _dealt(texts, text_col, parts, a, b, frequent)
-    pairs = dealt.groupBy("part").applyInPandas(pair, "part int, packed binary")
-    pairs = saved(pairs.groupBy("part").applyInPandas(merge, "a long, b long, around long"), "pairs")
+    pairs = dealt.groupBy("part").applyInPandas(pair, "a long, b long, around long")
+    if len(frequent.hot_codes):
+        pairs = pairs.unionByName(_hot_pairs(saved(_hot_records(texts, text_col, parts, a, b, frequent), "hot-records"), a, b))
+    pairs = saved(pairs.groupBy("a", "b").agg(F.max("around").alias("around")), "pairs")
     node = classes.select(F.col("h1").alias("a"), F.col("rep").alias("hub"))
     other = classes.select(F.col("h1").alias("b"), F.col("rep").alias("other"))
     edges = pairs.join(node, "a").join(other, "b").filter("hub <> other").select(F.col("hub").alias("a"), F.col("other").alias("b"), "around")
