@@ -7,8 +7,11 @@ numbers, dates) the two halves are numbers; of the others (cards, phones, e-mail
 strings in which a digit stays a digit and a letter a letter of its case, and hexadecimal secrets stay hexadecimal.
 Cards get a new check digit.
 
-A text is split at its matches and put together again with the pseudonyms between; texts without a digit or @ are
-left as they are after one look.
+Phones are those with + and a country code, and (555) 123-4567 with a space, dot or hyphen before the last four; other
+national forms are not found. Cards are 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5. Secrets have one of NAMES before them.
+
+A text is split at its matches and put together again with the pseudonyms between; texts without a digit, @ or one of
+NAMES, in which nothing can match, are left as they are after one look.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from .common import fresh
 ROUNDS = 10
 EMAIL = r"[\p{L}\p{Nd}][\p{L}\p{Nd}._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d])"
+NATIONAL = r"(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[./-]\d)"
-SECRET = r"""(?<=(?i:token|secret|key|password)\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9]{20,}"""
-#: CARD first: its group is \1.
-ANY = "|".join([CARD, EMAIL, PHONE, SSN, ADDRESS, DATE, SECRET])
+NAMES = "(?i:token|secret|key|password)"
+SECRET = rf"""(?<={NAMES}\s{{0,3}}[=:]\s{{0,3}}["']?)[A-Za-z0-9]{{20,}}"""
+#: CARD first: its groups are \1 and \2.
+ANY = "|".join([CARD, EMAIL, PHONE, NATIONAL, SSN, ADDRESS, DATE, SECRET])
 #: 400 years of days, as a product.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -192,6 +197,7 @@ def pseudonym(key: str, m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), _email(key, m))
         .when(F.startswith(m, F.lit("+")), _phone(key, m))
+        .when(F.startswith(m, F.lit("(")), _let(permute_text(key, "national", _symbols(m)), lambda s: _refill(m, s)))
         .when(m.rlike("^" + ADDRESS + "$"), _address(key, m))
         .when(m.rlike("^" + SSN + "$"), _ssn(key, m))
         .when(m.rlike("^" + DATE + "$"), _date(key, m))
@@ -209,7 +215,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     column is kept. Equal values under one key have equal pseudonyms; the key is as secret as the values.
     """
     text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "new")
-    found = docs.withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = docs.withColumn(old, F.when(text.rlike("[0-9@]|" + NAMES), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     found = found.withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
     both = F.arrays_zip(F.col(old).alias("x"), F.col(new).alias("y"))
     changed = F.coalesce(F.size(F.filter(both, lambda z: z["x"] != z["y"])), F.lit(0))
