@@ -7,11 +7,12 @@ numbers, dates) the two halves are numbers; of the others (cards, phones, e-mail
 strings in which a digit stays a digit and a letter a letter of its case, and hexadecimal secrets stay hexadecimal.
 Cards get a new check digit.
 
-Phones are those with + and a country code, and (555) 123-4567 with a space, dot or hyphen before the last four; other
-national forms are not found. Cards are 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5. Secrets have one of NAMES before them.
+Phones are those with + and a country code, (555) 123-4567 with a space, dot or hyphen before the last four, 555-123-4567
+and 555.123.4567; other national forms are not found. Cards are 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5. IBANs
+(check number 97) are written closed or in groups of four. Secrets have one of NAMES before them; one with hyphens or
+underscores needs a digit. A letter that is not ASCII stays in its block of 16 code points.
 
-A text is split at its matches and put together again with the pseudonyms between; texts without a digit, @ or one of
-NAMES, in which nothing can match, are left as they are after one look.
+Every whole text is searched. It is split at its matches and put together again with the pseudonyms between.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from .common import fresh
 ROUNDS = 10
 EMAIL = r"[\p{L}\p{Nd}][\p{L}\p{Nd}._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-NATIONAL = r"(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+NATIONAL = r"(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-]|\.\d)"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[./-]\d)"
 NAMES = "(?i:token|secret|key|password)"
-SECRET = rf"""(?<={NAMES}\s{{0,3}}[=:]\s{{0,3}}["']?)[A-Za-z0-9]{{20,}}"""
+SECRET = rf"""(?<={NAMES}\s{{0,3}}[=:]\s{{0,3}}["']?)(?:[A-Za-z0-9]{{20,}}+(?![_-])|(?=[A-Za-z_-]*\d)[A-Za-z0-9][A-Za-z0-9_-]{{18,}}[A-Za-z0-9])"""
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 #: CARD first: its groups are \1 and \2.
-ANY = "|".join([CARD, EMAIL, PHONE, NATIONAL, SSN, ADDRESS, DATE, SECRET])
+ANY = "|".join([CARD, EMAIL, IBAN, PHONE, NATIONAL, SSN, ADDRESS, DATE, SECRET])
 #: 400 years of days, as a product.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -70,8 +72,16 @@ def _shift(c: Column, by: Column) -> Column:
     return F.when(c.between("0", "9"), within("0", 10)).when(c.between("a", "z"), within("a", 26)).otherwise(within("A", 26))
 
 
+def _shift_wide(c: Column, by: Column) -> Column:
+    """Like _shift; of a character that is not ASCII the last four bits of its UTF-16 form move."""
+    code = F.hex(F.encode(c, "UTF-16BE"))
+    last = F.char_length(code)
+    moved = F.concat(F.substr(code, F.lit(1), last - 1), F.hex((F.conv(F.substr(code, last), 16, 10).cast("int") + by) % 16))
+    return F.when(c.rlike("^[A-Za-z0-9]$"), _shift(c, by)).otherwise(F.decode(F.unhex(moved), "UTF-16BE"))
+
+
 def permute_text(key: str, kind: str, text: Column, shift=_shift) -> Column:
-    """A keyed permutation of the strings of ASCII letters and digits that have text's pattern of digits and cases."""
+    """A keyed permutation of the strings of letters and digits that have text's pattern of digits and cases; shift moves one symbol."""
     half = F.floor(F.char_length(text) / 2).cast("int")
 
     def turn(s: Column, k: Column) -> Column:
@@ -102,14 +112,14 @@ def _refill(shape: Column, symbols: Column) -> Column:
         F.filter(F.split(shape, ""), lambda c: c != ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda s, c: F.when(
-            c.rlike("^[A-Za-z0-9]$"), F.struct(F.concat(s["out"], F.substr(symbols, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
+            c.rlike(r"^[A-Za-z0-9[^\x00-\x7F]]$"), F.struct(F.concat(s["out"], F.substr(symbols, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
         ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
     )
     return done["out"]
 
 
 def _symbols(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9]", "")
+    return F.regexp_replace(text, r"[\x00-\x7F&&[^A-Za-z0-9]]", "")
 
 
 def luhn_sum(digits: Column, double_last: bool) -> Column:
@@ -143,7 +153,33 @@ def _phone(key: str, m: Column) -> Column:
 def _email(key: str, m: Column) -> Column:
     end = F.concat(F.lit("."), F.substring_index(m, ".", -1))
     body = F.substr(m, F.lit(1), F.char_length(m) - F.char_length(end))
-    return F.concat(_let(permute_text(key, "email", _symbols(body)), lambda s: _refill(body, s)), end)
+    return F.concat(_let(permute_text(key, "email", _symbols(body), _shift_wide), lambda s: _refill(body, s)), end)
+
+
+def mod97(text: Column) -> Column:
+    """The remainder of 97 of a string of digits and capital letters, a letter standing for 10 to 35."""
+
+    def add(r: Column, c: Column) -> Column:
+        v = F.ascii(c)
+        return F.when(c.between("0", "9"), (r * 10 + v - 48) % 97).otherwise((r * 100 + v - 55) % 97).cast("int")
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(key: str, m: Column) -> Column:
+    """The account is permuted, its country kept, and the check number made anew."""
+
+    def changed(s: Column) -> Column:
+        country, body = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5))
+        valid = mod97(F.concat(body, F.substr(s, F.lit(1), F.lit(4)))) == 1
+
+        def full(b: Column) -> Column:
+            return F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+
+        new = _let(_let(permute_text(key, "iban", body), full), lambda f: _refill(m, f))
+        return F.when(valid, new).otherwise(m)
+
+    return _let(_symbols(m), changed)
 
 
 def _address(key: str, m: Column) -> Column:
@@ -197,13 +233,14 @@ def pseudonym(key: str, m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), _email(key, m))
         .when(F.startswith(m, F.lit("+")), _phone(key, m))
-        .when(F.startswith(m, F.lit("(")), _let(permute_text(key, "national", _symbols(m)), lambda s: _refill(m, s)))
+        .when(m.rlike("^" + IBAN + "$"), _iban(key, m))
+        .when(m.rlike(f"^(?:{NATIONAL})$"), _let(permute_text(key, "national", _symbols(m)), lambda s: _refill(m, s)))
         .when(m.rlike("^" + ADDRESS + "$"), _address(key, m))
         .when(m.rlike("^" + SSN + "$"), _ssn(key, m))
         .when(m.rlike("^" + DATE + "$"), _date(key, m))
         .when(m.rlike("^" + CARD + "$"), _card(key, m))
         .when(m.rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), _hex(key, m))
-        .when(m.rlike("^[A-Za-z0-9]{20,}$"), permute_text(key, "secret", m))
+        .when(m.rlike("^[A-Za-z0-9_-]{20,}$"), _let(permute_text(key, "secret", _symbols(m)), lambda s: _refill(m, s)))
         .otherwise(m)
     )
 
@@ -215,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     column is kept. Equal values under one key have equal pseudonyms; the key is as secret as the values.
     """
     text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "new")
-    found = docs.withColumn(old, F.when(text.rlike("[0-9@]|" + NAMES), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = docs.withColumn(old, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = found.withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
     both = F.arrays_zip(F.col(old).alias("x"), F.col(new).alias("y"))
     changed = F.coalesce(F.size(F.filter(both, lambda z: z["x"] != z["y"])), F.lit(0))

@@ -15,3 +15,26 @@ def test_secrets_without_digits_national_phones_and_cards_of_three_groups(spark)
     cards = [re.fullmatch(p, t).group(1) for p, (t, _) in ((r"pay (\d{4} \d{6} \d{5}) now", got[2]), (r"(\d{4}-\d{6}-\d{5})", got[3]))]
     digits = {re.sub(r"\D", "", c) for c in cards}
     assert len(digits) == 1 and all(map(luhn, digits)) and digits != {"378282246310005"}
+
+
+def iban_rest(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_wide_letters_ibans_hyphenated_secrets_and_plain_national_phones(spark):
+    texts = [
+        "дмитрий@mail.com", "say дмитрий@mail.com", "GB82 WEST 1234 5698 7654 32", "to GB82WEST12345698765432.", "GB83 WEST 1234 5698 7654 32",
+        "token: sk-Ab12-Cd34-Ef56-Gh78", "key = state-of-the-art-technology", "555-123-4567 or 555.123.4567", "1555-123-4567", "v 555.123.4567.8",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r["text"], r["n_replaced"]) for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert [n for _, n in got] == [1, 1, 1, 1, 0, 1, 0, 2, 0, 0]
+    name, host = got[0][0].split("@")
+    assert len(name) == 7 and not set(name) & set("дмитрий") or name != "дмитрий"
+    assert all(ord(x) >> 4 == ord(y) >> 4 for x, y in zip(name, "дмитрий", strict=True)) and got[1][0] == "say " + got[0][0]
+    assert re.fullmatch(r"GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d", got[2][0]) and iban_rest(got[2][0]) == 1 and got[2][0] != texts[2]
+    assert got[3][0] == "to " + got[2][0].replace(" ", "") + "."
+    assert re.fullmatch(r"token: [a-z]{2}(?:-[A-Z][a-z]\d\d){4}", got[5][0]) and got[5][0] != texts[5]
+    one, two = got[7][0].split(" or ")
+    assert one == two.replace(".", "-") and one != "555-123-4567"
