@@ -11,10 +11,7 @@ from sparkloom.llm.queries import CAPACITY_BYTES, PSEUDONYM_KEY
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    ranking = quality.learnt(docs, quality.training_labels(table(spark, sf_dir, "labels")))
-    x = fresh(docs, "features")
-    scored = docs.withColumn(x, quality.features(F.col("text")))
-    return scored.filter(ranking.score(F.col(x)) >= quality.PASS).drop(x)
+    return quality.drop_low(docs, quality.training_labels(table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Writing: a payload becomes frames of 64 pixels a row in a grey palette, LZW-code
 variable-width LZW codes with clear and end codes and late code growth, local and global palettes, interlacing,
 delays, transparency and the disposal methods 0 to 3.
 
-Spark deals the rows; a task holds one image at a time.
+Spark deals the rows; a task holds one GIF and, whatever the size of its screen, one band of BAND_PIXELS of it: the
+code streams are decoded in steps, and a screen of several bands is drawn once for each of them.
 """
 
 from __future__ import annotations
@@ -21,15 +22,23 @@ WIDTH = 64
 #: Rows of a frame: 64 KiB of samples.
 FRAME_ROWS = 1024
 DELAY_CS = 10
-MOST_PIXELS = 1 << 26
+#: Pixels of the screen that are drawn at once.
+BAND_PIXELS = 1 << 22
+#: Samples that a code stream gives at once, about.
+STEP = 1 << 20
 
 
 @dataclass
 class Frame:
+    """A frame's part in one band of the screen."""
+
+    frame: int
+    band: int
     delay_cs: int
     disposal: int
-    samples: np.ndarray  # indexes as stored, rows x columns
-    canvas: np.ndarray  # RGB after drawing, before disposal
+    top: int  # the first row of samples, counted in the frame
+    samples: np.ndarray  # indexes in the band, rows x columns
+    canvas: np.ndarray  # RGB of the band after drawing, before disposal
 
 
 def _widths(bits: int, first: int, count: int) -> np.ndarray:
@@ -78,7 +87,12 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
 
 
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
-    """At most size samples of a code stream; a stream that ends early or breaks the rules gives what came before.
+    """At most size samples of a code stream; a stream that ends early or breaks the rules gives what came before."""
+    return b"".join(lzw_steps(data, bits, size))
+
+
+def lzw_steps(data: bytes, bits: int, size: int) -> Iterator[bytes]:
+    """The samples of a code stream in steps of about STEP.
 
     Widths follow from the number of codes since the last clear code, so a run of codes is cut out at once.
     """
@@ -87,7 +101,7 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     base = [bytes((i,)) for i in range(clear)] + [b"", b""]
     table = base.copy()
     parts: list[bytes] = []
-    put = parts.append
+    held = 0
     at, since, got = 0, 0, 0  # bit position, codes since the last clear code, samples so far
     last = b""
     while got < size:
@@ -103,7 +117,7 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stops[0]) if len(stops) else len(codes)
         known, broken, before = len(table), False, len(parts)
-        grow = table.append
+        grow, put = table.append, parts.append
         for code in codes[:n].tolist():
             if code < known:
                 new = table[code]
@@ -119,7 +133,11 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
                 break
             put(new)
             last = new
-        got += sum(map(len, parts[before:]))
+        new_ones = sum(map(len, parts[before:]))
+        got, held = got + new_ones, held + new_ones
+        if held >= STEP:
+            yield b"".join(parts)[: held - max(0, got - size)]
+            parts, held = [], 0
         if broken:
             break
         if n == len(codes):
@@ -129,7 +147,8 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
             table = base.copy()
         else:
             break
-    return b"".join(parts)[:size]
+    if held:
+        yield b"".join(parts)[: held - max(0, got - size)]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -155,24 +174,66 @@ def write_gif(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_frames(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, one at a time. Data that break off end the frames; other formats, and images too large for a task, raise ValueError."""
+@dataclass
+class _Picture:
+    """A frame as it stands in the file."""
+
+    delay_cs: int
+    disposal: int
+    transparent: int | None
+    left: int
+    top: int
+    width: int
+    height: int
+    interlaced: bool
+    colours: np.ndarray
+    bits: int
+    codes: bytes
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        """The samples of rows low to high in drawing order; what the stream lacks is 0."""
+        w = self.width
+        out = np.zeros((max(0, high - low), w), dtype=np.uint8)
+        flat = out.reshape(-1)
+        if self.interlaced:
+            order = np.concatenate([np.arange(s, self.height, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
+        at, rest = 0, b""
+        for step in lzw_steps(self.codes, self.bits, w * self.height):
+            if not self.interlaced:
+                x, y = max(at, low * w), min(at + len(step), high * w)
+                if x < y:
+                    flat[x - low * w : y - low * w] = np.frombuffer(step, dtype=np.uint8)[x - at : y - at]
+                at += len(step)
+                if at >= high * w:
+                    break
+                continue
+            rest += step
+            n = len(rest) // w
+            at = self._scatter(out, order, at, rest[: n * w], low, high)
+            rest = rest[n * w :]
+        if self.interlaced and rest:
+            self._scatter(out, order, at, rest + bytes(w - len(rest)), low, high)
+        return out
+
+    def _scatter(self, out: np.ndarray, order: np.ndarray, at: int, raw: bytes, low: int, high: int) -> int:
+        block = np.frombuffer(raw, dtype=np.uint8).reshape(-1, self.width)
+        to = order[at : at + len(block)]
+        mine = (to >= low) & (to < high)
+        out[to[mine] - low] = block[: len(to)][mine]
+        return at + len(block)
+
+
+def _pictures(data: bytes) -> tuple[int, int, np.ndarray | None, list[_Picture]]:
+    """Width and height of the screen, the colour of the background, and the frames. Data that break off end the frames; other formats raise ValueError."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
-    if width * height > MOST_PIXELS:
-        raise ValueError("too large")
 
     def colours_at(at: int, flags: int) -> tuple[np.ndarray | None, int]:
         n = 3 << (flags & 7) + 1
         part = data[at : at + n]
         return (np.frombuffer(part, dtype=np.uint8).reshape(-1, 3) if len(part) == n else None), at + n
 
-    palette, at = colours_at(13, flags) if flags & 0x80 else (None, 13)
-    canvas = np.zeros((height, width, 3), dtype=np.uint8)
-    delay = disposal = 0
-    transparent = None
-
     def sub_blocks(at: int) -> tuple[bytes, int]:
         parts = []
         while at < len(data) and data[at]:
@@ -180,10 +241,13 @@ def read_frames(data: bytes) -> Iterator[Frame]:
             at += 1 + data[at]
         return b"".join(parts), at + 1
 
+    palette, at = colours_at(13, flags) if flags & 0x80 else (None, 13)
+    ground = palette[background] if palette is not None and background < len(palette) else None
+    delay = disposal = 0
+    transparent = None
+    found: list[_Picture] = []
     while at < len(data):
         kind = data[at]
-        if kind == 0x3B:
-            return
         if kind == 0x21 and at + 1 < len(data):
             body, after = sub_blocks(at + 2)
             if data[at + 1] == 0xF9 and len(body) >= 4:
@@ -192,39 +256,50 @@ def read_frames(data: bytes) -> Iterator[Frame]:
             at = after
             continue
         if kind != 0x2C or at + 10 > len(data):
-            return
+            break
         left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at += 10
         colours, at = colours_at(at, packed) if packed & 0x80 else (palette, at)
         if at >= len(data) or colours is None:
-            return
-        if w * h > MOST_PIXELS:
-            raise ValueError("too large")
+            break
         bits = data[at]
         body, at = sub_blocks(at + 1)
-        raw = lzw_decode(body, bits, w * h)
-        samples = np.frombuffer(raw + bytes(w * h - len(raw)), dtype=np.uint8).reshape(h, w)
-        if packed & 0x40:
-            rows = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
-            straight = np.empty_like(samples)
-            straight[rows] = samples
-            samples = straight
-        before = canvas.copy() if disposal == 3 else None
-        box = canvas[top : top + h, left : left + w]
-        shown = samples[: box.shape[0], : box.shape[1]]
-        drawn = colours[np.minimum(shown, len(colours) - 1)]
-        if transparent is None:
-            box[...] = drawn
-        else:
-            seen = shown != transparent
-            box[seen] = drawn[seen]
-        yield Frame(delay, disposal, samples, canvas.copy())
-        if disposal == 2:
-            canvas[top : top + h, left : left + w] = palette[background] if palette is not None and background < len(palette) and transparent is None else 0
-        elif disposal == 3:
-            canvas = before
+        found.append(_Picture(delay, disposal, transparent, left, top, w, h, bool(packed & 0x40), colours, bits, body))
         delay = disposal = 0
         transparent = None
+    return width, height, ground, found
+
+
+def read_frames(data: bytes, band_pixels: int | None = None) -> Iterator[Frame]:
+    """The frames of a GIF in bands of rows: all frames of the first band, then of the next. Screen and frames of at most
+    band_pixels are one band. A band below the screen has samples alone. Data that break off end the frames; other
+    formats raise ValueError.
+    """
+    width, height, ground, pictures = _pictures(data)
+    whole = max([1, height, *(p.top + p.height for p in pictures)])
+    tall = max(1, (band_pixels or BAND_PIXELS) // max([1, width, *(p.width for p in pictures)]))
+    for band, first in enumerate(range(0, whole, tall)):
+        last = min(first + tall, whole)
+        canvas = np.zeros((max(0, min(last, height) - first), width, 3), dtype=np.uint8)
+        for number, p in enumerate(pictures):
+            low = min(max(first - p.top, 0), p.height)
+            high = max(low, min(max(last - p.top, 0), p.height))
+            samples = p.rows(low, high) if p.width else np.zeros((high - low, 0), dtype=np.uint8)
+            before = canvas.copy() if p.disposal == 3 else None
+            begin = p.top + low - first
+            box = canvas[begin : begin + high - low, p.left : p.left + p.width]
+            shown = samples[: box.shape[0], : box.shape[1]]
+            drawn = p.colours[np.minimum(shown, len(p.colours) - 1)]
+            if p.transparent is None:
+                box[...] = drawn
+            else:
+                seen = shown != p.transparent
+                box[seen] = drawn[seen]
+            yield Frame(number, band, p.delay_cs, p.disposal, low, samples, canvas.copy())
+            if p.disposal == 2:
+                box[...] = ground if ground is not None and p.transparent is None else 0
+            elif p.disposal == 3:
+                canvas = before
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -248,23 +323,30 @@ def write_column(data: Column) -> Column:
     return run(data)
 
 
-FRAME = "struct<frame:int,delay_cs:int,disposal:int,rows:int,samples:binary,histogram:array<bigint>>"
+FRAME = "struct<frame:int,band:int,delay_cs:int,disposal:int,top:int,rows:int,samples:binary,histogram:array<bigint>>"
 
 
 def frames_column(media: Column) -> Column:
-    """binary -> array of timed frames with their samples and colour histograms. Null and what is no GIF give an empty array."""
+    """binary -> struct<error, frames>: the timed frames in bands of the screen with their samples and colour histograms.
 
-    @F.pandas_udf(f"array<{FRAME}>")
-    def run(rows: pd.Series) -> pd.Series:
+    A screen of up to BAND_PIXELS pixels is one band, so each frame is one entry; a larger one has an entry for each
+    frame and band, in the order of bands. Null and what is no GIF give no frames, and an error that says so (null for a GIF).
+    """
+
+    @F.pandas_udf(f"struct<error:string,frames:array<{FRAME}>>")
+    def run(rows: pd.Series) -> pd.DataFrame:
         out = []
         for data in rows:
-            frames = []
+            frames, error = [], None
             try:
-                for i, f in enumerate(read_frames(bytes(data or b""))):
-                    frames.append({"frame": i, "delay_cs": f.delay_cs, "disposal": f.disposal, "rows": f.samples.shape[0], "samples": f.samples.tobytes(), "histogram": histogram(f.canvas).tolist()})
-            except ValueError:
-                pass
-            out.append(frames)
-        return pd.Series(out, dtype=object)
+                for f in read_frames(bytes(data or b"")):
+                    frames.append({
+                        "frame": f.frame, "band": f.band, "delay_cs": f.delay_cs, "disposal": f.disposal, "top": f.top, "rows": f.samples.shape[0],
+                        "samples": f.samples.tobytes(), "histogram": histogram(f.canvas).tolist(),
+                    })
+            except ValueError as e:
+                error = str(e)
+            out.append((error, frames))
+        return pd.DataFrame(out, columns=["error", "frames"], dtype=object)
 
     return run(media)

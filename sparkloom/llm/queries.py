@@ -134,11 +134,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     media = saved(docs.select("doc_id", F.octet_length("bytes").alias("n_bytes"), gif.write_column(F.col("bytes")).alias("media")), "media")
-    rows = media.withColumn("frames", gif.frames_column(F.col("media")))
+    rows = media.withColumn("frames", gif.frames_column(F.col("media"))["frames"])
     zeros = F.array_repeat(F.lit(0).cast("long"), 64)
     rows = rows.select(
         "doc_id", "n_bytes", "media",
-        F.aggregate("frames", F.lit(b""), lambda a, f: F.concat(a, f["samples"])).alias("payload"),
+        F.unhex(F.array_join(F.transform("frames", lambda f: F.hex(f["samples"])), "")).alias("payload"),
         F.aggregate("frames", zeros, lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y)).alias("colours"),
         F.size("frames").alias("n_frames"),
         F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_cs"]).alias("duration_cs"),

@@ -52,12 +52,46 @@ def test_broken_data():
         list(G.read_frames(b"PNG"))
 
 
+def test_bands_hold_what_one_band_holds():
+    rng = np.random.default_rng(1)
+    frames = []
+    for k in range(12):
+        left, top, w, h = (int(x) for x in (rng.integers(0, 9), rng.integers(0, 30), rng.integers(1, 12), rng.integers(1, 25)))
+        frames.append((left, top, w, h, k % 4, None if k % 3 else 2, k % 2, rng.integers(0, 4, w * h).tolist()))
+    data = image(frames, (10, 40))
+    whole = list(G.read_frames(data))
+    for pixels in (1, 30, 100, 400):
+        bands = list(G.read_frames(data, pixels))
+        for k, f in enumerate(whole):
+            mine = [b for b in bands if b.frame == k]
+            assert np.array_equal(np.concatenate([b.samples for b in mine]), f.samples)
+            assert np.array_equal(np.concatenate([b.canvas for b in mine]), f.canvas)
+            assert sum(G.histogram(b.canvas) for b in mine).tolist() == G.histogram(f.canvas).tolist()
+
+
+def test_a_screen_of_81_million_pixels_is_drawn(spark):
+    data = image([(8990, 8990, 4, 4, 1, None, 0, [1] * 16)], (9000, 9000))
+    df = spark.createDataFrame([(bytearray(data),)], "b binary")
+    got = df.select(G.frames_column(df["b"]).alias("f")).first()["f"]
+    assert got["error"] is None and sum(f["histogram"][48] for f in got["frames"]) == 16
+    assert sum(sum(f["histogram"]) for f in got["frames"]) == 9000 * 9000
+    assert [x for x in (bytes(f["samples"]) for f in got["frames"]) if x] == [bytes([1] * 16)]
+
+
 def test_query(spark, small):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in queries.op9_gif(spark, small).collect():
         p = G.pad(docs[r["doc_id"]])
         media = G.write_gif(p)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(docs[r["doc_id"]]), len(p), hashlib.sha256(p).hexdigest())
+        colours = np.bincount(sum((list(p[at : at + 65536]) for at in range(0, len(p), 65536)), []), minlength=256).reshape(4, 64).sum(1)
+        unused = sum(-len(p[at : at + 65536]) % min(len(p), 65536) for at in range(0, len(p), 65536))
+        grey = [0] * 64
+        for k in range(4):
+            grey[k * 21] = int(colours[k])
+        # a last frame that is shorter leaves the rows below as the frame before drew them
+        if not unused:
+            assert r["feature"] == ",".join(map(str, grey))
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest())
 
 
@@ -66,6 +100,7 @@ def test_nulls_and_empty_tables(spark):
 
     df = spark.createDataFrame([(None,), (bytearray(b""),)], "b binary")
     got = df.select(G.write_column(F.col("b")).alias("m")).select(G.frames_column(F.col("m")).alias("f")).collect()
-    assert [bytes(r["f"][0]["samples"]) for r in got] == [bytes(64)] * 2
-    assert df.select(G.frames_column(F.col("b")).alias("f")).collect()[0]["f"] == []
+    assert [bytes(r["f"]["frames"][0]["samples"]) for r in got] == [bytes(64)] * 2 and got[0]["f"]["error"] is None
+    none = df.select(G.frames_column(F.col("b")).alias("f")).collect()[0]["f"]
+    assert none["frames"] == [] and none["error"] == "not a GIF"
     assert df.limit(0).select(G.write_column(F.col("b"))).count() == 0
