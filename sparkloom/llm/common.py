@@ -25,18 +25,27 @@ def _test_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local folder only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    """A new path in the cluster's shared folder (spark.checkpoint.dir). Where none is set, a local folder for a local master, as in tests; an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _test_folder()
     return f"{base}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-#: Up to so many rows of one key a table is broadcast: some 40 MB.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a written table is broadcast; an operator has at most a few such tables alive at once.
+BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast table takes besides its values.
+ROW_BYTES = 32
 
 
-def broadcast_if_few(keys: DataFrame) -> DataFrame:
-    """A written table of keys, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, the join shuffles."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its measured rows and values have at most BROADCAST_BYTES; beyond, the join shuffles."""
+    wide = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in keys.schema.fields if f.dataType.typeName() != "array"]
+    wide += [F.size(f.name) * 32 for f in keys.schema.fields if f.dataType.typeName() == "array"]
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(ROW_BYTES))
+    return F.broadcast(keys) if keys.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else keys
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -50,7 +59,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """The rows of df whose identifier is not in the one column of gone, a written table. Rows with a null identifier stay."""
     name = fresh(df, "gone_id")
-    gone = broadcast_if_few(gone.toDF(name))
+    gone = broadcast_if_small(gone.toDF(name))
     return df.join(gone, df[id_col] == gone[name], "left_anti")
 
 

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import broadcast_if_few, saved, without
+from .common import broadcast_if_small, saved, without
 from .graph_components import components
 
 SHINGLE = 5
@@ -331,13 +331,13 @@ def _hot_pairs(records: DataFrame, a: int, b: int) -> DataFrame:
     are found by partial aggregation and meet its records wherever those are."""
     sizes = records.groupBy("code", "n", "indexed").agg(F.count(F.lit(1)).alias("k"))
     groups = saved(sizes.groupBy("code").applyInPandas(lambda g: _size_groups(g, a, b), "code long, n long, indexed boolean, first long"), "hot-groups")
-    grouped = records.join(broadcast_if_few(groups), ["code", "n", "indexed"])
+    grouped = records.join(broadcast_if_small(groups), ["code", "n", "indexed"])
     # copies of a document in several tasks have the same rank
     w = Window.partitionBy("code", "first").orderBy("rank")
     hubs = grouped.select("code", "first", "rank", "node").withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= HUBS)
     hubs = hubs.groupBy("code", "first").agg(F.array_sort(F.collect_set(F.struct("rank", "node"))).alias("hubs"))
     hubs = saved(hubs, "hot-hubs")
-    met = grouped.join(broadcast_if_few(hubs), ["code", "first"]).select("rank", "node", F.posexplode("hubs").alias("place", "hub")).filter(F.col("hub.rank") < F.col("rank"))
+    met = grouped.join(broadcast_if_small(hubs), ["code", "first"]).select("rank", "node", F.posexplode("hubs").alias("place", "hub")).filter(F.col("hub.rank") < F.col("rank"))
     return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), (F.col("place") == 0).cast("long").alias("around"))
 
 
@@ -525,7 +525,7 @@ def near_groups(
     edges = saved(edges, "candidate-pairs")
 
     ids = saved(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct(), "candidates")
-    picked = broadcast_if_few(ids)
+    picked = broadcast_if_small(ids)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

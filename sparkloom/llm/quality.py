@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import broadcast_if_few, fresh, saved
+from .common import broadcast_if_small, fresh, saved
 
 NAMES = [
     "log_bytes", "upper", "symbols", "bars", "exclaims", "digits", "breaks", "distinct_words", "top_word", "same_neighbours",
@@ -199,5 +199,5 @@ def drop_low(docs: DataFrame, labels: DataFrame, threshold: float = PASS, id_col
     h = F.xxhash64(text_col)
     gone = scored(docs, labels, id_col, text_col, label_col, h).filter(F.col("score") < threshold)
     names = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
-    gone = broadcast_if_few(saved(gone.select(id_col, "m0").distinct(), "rejected").toDF(*names))
+    gone = broadcast_if_small(saved(gone.select(id_col, "m0").distinct(), "rejected").toDF(*names))
     return docs.join(gone, docs[id_col].eqNullSafe(gone[names[0]]) & (h == gone[names[1]]), "left_anti")
