@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import saved
+from .common import broadcast_if_small, saved
+
+#: A node of more edges meets its label in SALTS places.
+HEAVY, SALTS = 2_000, 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,9 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
     least = edges.select(F.min("a").over(Window.partitionBy("b")).alias("m"), "a", "b")
     edges = least.select(F.col("m").alias("a"), "b").unionByName(least.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    heavy = broadcast_if_small(saved(both.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("node"), "heavy"))
+    marked = both.join(heavy.select(F.col("node").alias("b"), F.lit(True).alias("many")), "b", "left")
+    both = saved(marked.select("a", "b", F.when(F.col("many"), F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")), "salted-edges")
+
+    def spread(labels: DataFrame) -> DataFrame:
+        """(b, salt, label): a heavy node's label once for each salt."""
+        last = F.when(F.col("many"), F.lit(SALTS - 1)).otherwise(F.lit(0))
+        rows = labels.join(heavy.select("node", F.lit(True).alias("many")), "node", "left")
+        return rows.select(F.col("node").alias("b"), "label", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(spread(labels), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         best = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         best = saved(best, "labels")
         jump = best.select(F.col("node").alias("label"), F.col("label").alias("further"))

@@ -6,20 +6,25 @@ smaller one the first n - ceil(2 a n / (a + b)) + 1 are enough. So a pair is ver
 each of several orders. Order 0 has the tokens of the most documents last, so that passages which many documents
 share make no candidates; orders 1 and 2 are hashes.
 
+Order 0 has the tokens of the fewest documents first, by exact counts; orders 1 and 2 are hashes. Passages that many
+documents share come last in order 0 and make no candidates, and a token of one document can't be shared.
+
 Steps, each a Spark job over tables:
-1. sizes and hashes of the sets, and in how many documents each token is, counted over all; documents with the same
-   set form a class, only one of which goes on;
-2. the first tokens under order 0 are dealt by token, packed. Up to SMALL documents that share one are paired, where
-   sizes and positions allow a link; of more, each is paired with FEW of them, of more than LARGE with HUBS;
-   A token of more than HOT documents is not dealt: its records stay rows where they are, which meet the token's hubs;
-3. pairs are verified: filters under all orders, then the overlap. Links give components;
-4. the documents around a hub that lie in different components are compared in blocks of bounded size: two blocks are
+1. each task deals the tokens of some documents by token; a part counts its tokens over all documents and answers with
+   the counts of those in two or more. A token of many documents of one task travels as one count, and its documents
+   wait at the task's address;
+2. with the answers each document's first tokens under order 0 are known: those of two or more documents among them are
+   dealt by token, packed. Documents with the same set form a class, only one of which goes on;
+3. up to SMALL documents that share a token are paired, where sizes and positions allow a link; of more, each is paired
+   with FEW of them, of more than LARGE with HUBS. The records of a token of more than HOT documents stay rows where
+   they are, which meet the token's hubs;
+4. a pair goes on if its first tokens under orders 1 and 2, four bytes each, meet as well; only then are the sets of its
+   documents fetched and the overlap counted. Links give components;
+5. the documents around a hub that lie in different components are compared in blocks of bounded size: two blocks are
    a task's work, and inside, a pair already connected is skipped. So every pair that passes the filters is verified
    or known to be connected, and no link between components is lost.
 
-A group's size bounds nothing but the number of blocks. Only counts, and the list of the most frequent tokens, which
-has at most FREQUENT entries whatever the corpus, pass through the driver. A token of more than HOT documents is known
-as such if it is in that list; one that is not has at most as many documents as the last one in it.
+A group's size bounds nothing but the number of blocks, and no token or document passes through the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import broadcast_if_small, saved, without
 from .graph_components import components
 
 SHINGLE = 5
-FREQUENT = 250_000
 BLOCK = 256
 SMALL, FEW, LARGE, HUBS = 4, 2, 16, 16
 #: Bytes of text that are hashed at once, and tokens that a task gathers before it passes them on.
@@ -43,6 +48,8 @@ TEXT_BYTES, GATHERED = 1 << 20, 2_000_000
 PART_BYTES = 32 << 20
 #: The records of a token of more documents are not gathered in one group: they stay rows, and only their sizes and hubs are.
 HOT = 1 << 16
+#: A token of more documents of one task is counted there, and its documents aren't dealt.
+BUSY = 32
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -115,43 +122,10 @@ def _spread(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return ((x & _U(0xFFFFFFFF)) % _U(parts)).astype(np.int64), (x >> _U(32)).astype(np.uint32)
 
 
-class Frequent:
-    """The tokens of the most documents, by part and mark, with their rank; the others have none."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, parts: int):
-        order = np.lexsort((codes, counts))
-        ranks = np.zeros(len(codes), dtype=np.uint64)
-        ranks[order] = np.arange(len(codes), dtype=np.uint64)
-        by_code = np.argsort(codes)
-        self.codes, self.ranks, self.parts = codes[by_code], ranks[by_code], parts
-        self.hot_codes = np.sort(codes[counts > HOT])
-
-    def hot(self, part: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Which of these tokens have more than HOT documents."""
-        if not len(self.hot_codes):
-            return np.zeros(len(part), dtype=bool)
-        codes = part << 32 | mark
-        return self.hot_codes[np.minimum(np.searchsorted(self.hot_codes, codes), len(self.hot_codes) - 1)] == codes
-
-    def last(self, tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """keys, with those of frequent tokens behind all others."""
-        if len(self.codes):
-            part, mark = _spread(tokens, self.parts)
-            codes = part << 32 | mark
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            hot = self.codes[at] == codes
-            keys[hot] = self.ranks[at[hot]] | _U(1 << 63)
-        return keys
-
-
-def prefix(tokens: np.ndarray, order: int, size: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the first tokens under an order, ascending, and the tokens. A key stands for its token under this order."""
-    keys = _mix(tokens ^ _SALTS[order]) >> _U(1)
-    if order == 0:
-        keys = frequent.last(tokens, keys)
-    first = np.argpartition(keys, size - 1)[:size] if size < len(keys) else np.arange(len(keys))
-    first = first[np.argsort(keys[first])]
-    return keys[first], tokens[first]
+def prefix(tokens: np.ndarray, order: int, size: int) -> np.ndarray:
+    """The keys of the first tokens under a hash order, ascending. A key stands for its token under this order."""
+    keys = _mix(tokens ^ _SALTS[order])
+    return np.sort(np.partition(keys, size - 1)[:size] if size < len(keys) else keys)
 
 
 def _rank(node: np.ndarray) -> np.ndarray:
@@ -183,130 +157,146 @@ def _from_planes(data: bytes, kind: type = np.uint32) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-SIZED = np.dtype([("id", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8")])
+def _bytes_of(numbers: np.ndarray) -> bytes:
+    """32-bit numbers in their order, the low bytes first."""
+    return np.ascontiguousarray(numbers, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _hash_sum(s: np.ndarray, salt: int) -> int:
-    return int(_mix(s ^ _SALTS[salt]).sum().view(np.int64))
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows of two kinds: 0 (identifier, size, two hashes of the set); 1 (code of a token, its number of documents) for tokens of many."""
+def _joined(rows: list, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *rows])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: list[np.ndarray] = []
-        rows: list[tuple] = []
-        n = 0
 
-        def packed() -> pd.DataFrame:
-            part, mark = _spread(np.concatenate(sets), parts)
-            marks = {k: _planes(np.frombuffer(v, dtype=np.uint32)) for k, v in _by_part(part, mark).items()}
-            sized = np.array(rows, dtype=SIZED)
-            docs_ = _by_part(_mix(sized["id"].view(np.uint64)).astype(np.int64) % parts, sized)
-            keys = sorted({*marks, *docs_})
-            return pd.DataFrame({"part": keys, "marks": [marks.get(k, b"") for k in keys], "docs": [docs_.get(k, b"") for k in keys]})
+SIZED = np.dtype([("id", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("first", "<i8")])
 
-        for batch in batches:
-            for key, s in zip(batch["id"], shingle_sets(batch["text"].tolist()), strict=True):
-                rows.append((key, len(s), _hash_sum(s, 1), _hash_sum(s, 2)))
-                sets.append(s)
-                n += len(s)
-            if n >= GATHERED:
-                yield packed()
-                sets, rows, n = [], [], 0
-        if rows:
-            yield packed()
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        sized = np.concatenate([np.frombuffer(x, dtype=SIZED) for x in group["docs"]])
-        marks, counts = np.unique(np.concatenate([_from_planes(x) for x in group["marks"]]), return_counts=True)
-        many = np.flatnonzero(counts >= 8)
-        many = many[np.argsort(counts[many])][-(2 * FREQUENT // parts + 1) :]
-        code = int(group["part"].iloc[0]) << 32 | marks[many].astype(np.int64)
-        docs_ = pd.DataFrame({"kind": 0, "a": sized["id"], "b": sized["n"], "c": sized["h1"], "d": sized["h2"]})
-        return pd.concat([docs_, pd.DataFrame({"kind": 1, "a": code, "b": counts[many], "c": 0, "d": 0})])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.mapInPandas(deal, "part int, marks binary, docs binary")
-    return dealt.groupBy("part").applyInPandas(count, "kind int, a long, b long, c long, d long")
+def _hash_sum(s: np.ndarray, salt: int) -> int:
+    return int(_mix(s ^ _SALTS[salt]).sum().view(np.int64))
 
 
-def _frequent(measured: DataFrame, parts: int) -> Frequent:
-    rows = measured.filter("kind = 1").select("a", "b").orderBy(F.desc("b"), "a").limit(FREQUENT).toPandas()
-    return Frequent(rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), parts)
+DEALT = "part int, batch long, marks binary, owners binary, counts binary, busy binary, busy_counts binary, docs binary, own binary"
+EMPTY = {c: b"" for c in "marks owners counts busy busy_counts docs own".split()}
+FIRST = "kind int, part int, packed binary, a long, b long, c long, d long, e long"
+OWN = np.dtype([("code", "<i8"), ("owner", "<i8")])
 
 
-def _dealt(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent: Frequent) -> DataFrame:
-    """(part, packed): records of the first tokens under order 0, for each task and part; those of hot tokens are in _hot_records."""
+def _deal(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """DEALT: for each batch of documents and part, the tokens' marks and the places of their documents in the batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gathered: list[np.ndarray] = []
-        where: list[np.ndarray] = []
+        at = TaskContext.get().partitionId() << 32  # a task that runs again has the same batches
+        sets: list[np.ndarray] = []
+        rows: list[tuple] = []
         seen: set[int] = set()
         n = 0
 
         def packed() -> pd.DataFrame:
-            found = _by_part(np.concatenate(where), np.concatenate(gathered))
-            return pd.DataFrame({"part": list(found), "packed": list(found.values())})
+            part, mark = _spread(_joined(sets, np.uint64), parts)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            code = part << 32 | mark
+            order = np.lexsort((owner, code))
+            code, owner = code[order], owner[order]
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            times = np.diff([*starts, len(code)])
+            busy = times > BUSY
+            own = np.zeros(int(times[busy].sum()), dtype=OWN)
+            alone = ~np.repeat(busy, times)
+            own["code"], own["owner"] = code[~alone], owner[~alone]
+            busy_code, busy_times = code[starts[busy]], times[busy]
+            code, owner = code[alone], owner[alone]
+            out: dict[int, dict] = {}
+            for k in np.unique(np.concatenate([code, busy_code]) >> 32).tolist():
+                x, y = np.searchsorted(code, [k << 32, k + 1 << 32])
+                u, v = np.searchsorted(busy_code, [k << 32, k + 1 << 32])
+                out[k] = EMPTY | {"marks": _planes(code[x:y].astype(np.uint32)), "owners": _bytes_of(owner[x:y]), "busy": _bytes_of(busy_code[u:v]), "busy_counts": _bytes_of(busy_times[u:v])}
+            home = out.setdefault(int(_mix(np.array([at], dtype=np.uint64))[0] % _U(parts)), dict(EMPTY))
+            home["docs"], home["own"] = np.array(rows, dtype=SIZED).tobytes(), own.tobytes()
+            return pd.DataFrame([{"part": k, "batch": at, **v} for k, v in out.items()], columns=[c.split()[0] for c in DEALT.split(", ")])
 
         for batch in batches:
-            for s in shingle_sets(batch["text"].tolist()):
+            for key, s in zip(batch["id"], shingle_sets(batch["text"].tolist()), strict=True):
                 node = _hash_sum(s, 1)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                _, tokens = prefix(s, 0, _prefix_size(len(s), a, b), frequent)
-                part, mark = _spread(tokens, parts)
-                record = np.zeros(len(tokens), dtype=RECORD)
-                record["mark"], record["n"], record["node"] = mark, len(s), node
-                record["n"][: _index_size(len(s), a, b)] |= INDEXED
-                cold = ~frequent.hot(part, mark)
-                gathered.append(record[cold])
-                where.append(part[cold])
-                n += len(tokens)
-            if n >= GATHERED:
+                first = bool(len(s)) and node not in seen
+                rows.append((key, len(s), node, _hash_sum(s, 2), first))
+                if first:
+                    seen.add(node)
+                    sets.append(s)
+                    n += len(s)
+            if n >= GATHERED or len(rows) >= GATHERED // 8:
                 yield packed()
-                gathered, where, seen, n = [], [], set(), 0
-        if gathered:
+                at, sets, rows, seen, n = at + 1, [], [], set(), 0
+        if rows:
             yield packed()
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part int, packed binary")
-
-
-HOT_RECORD = np.dtype([("code", "<i8"), ("n", "<i8"), ("indexed", "?"), ("node", "<i8"), ("rank", "<i8")])
-
-
-def _hot_records(docs: DataFrame, text_col: str, parts: int, a: int, b: int, frequent: Frequent) -> DataFrame:
-    """(code, n, indexed, node, rank): the records of hot tokens as rows. rank orders the documents in the same way under every token."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gathered: list[np.ndarray] = []
-        seen: set[int] = set()
-        n = 0
-        for batch in batches:
-            for s in shingle_sets(batch["text"].tolist()):
-                node = _hash_sum(s, 1)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                _, tokens = prefix(s, 0, _prefix_size(len(s), a, b), frequent)
-                part, mark = _spread(tokens, parts)
-                at = np.flatnonzero(frequent.hot(part, mark))
-                if len(at):
-                    record = np.zeros(len(at), dtype=HOT_RECORD)
-                    record["code"], record["n"], record["indexed"], record["node"] = (part << 32 | mark)[at], len(s), at < _index_size(len(s), a, b), node
-                    record["rank"] = (_rank(record["node"].copy()) ^ _U(1 << 63)).view(np.int64)  # the order of signed numbers
-                    gathered.append(record)
-                    n += len(at)
-                if n >= GATHERED // 8:
-                    yield pd.DataFrame(np.concatenate(gathered))
-                    gathered, seen, n = [], set(), 0
-            if len(seen) > GATHERED // 8:
-                seen = set()
-        if gathered:
-            yield pd.DataFrame(np.concatenate(gathered))
-
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code long, n long, indexed boolean, node long, rank long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, DEALT)
+
+
+def _count(group: pd.DataFrame) -> pd.DataFrame:
+    """A part's answers: of each batch's tokens those of two or more documents, with that number."""
+    marks = [_from_planes(x) for x in group["marks"]]
+    owners = [_numbers(x) for x in group["owners"]]
+    busy = [_numbers(x) for x in group["busy"]]
+    weights = [np.ones(len(m)) for m in marks] + [_numbers(x).astype(np.float64) for x in group["busy_counts"]]
+    _, place = np.unique(_joined(marks + busy, np.uint32), return_inverse=True)
+    total = np.minimum(np.bincount(place, weights=_joined(weights, np.float64)), 2**32 - 1).astype(np.uint32)[place]
+    total = np.split(total, np.cumsum([len(x) for x in marks + busy])[:-1])
+    out = group[["part", "batch", "busy", "docs", "own"]].copy()
+    shared = [t >= 2 for t in total[: len(marks)]]
+    out["marks"] = [_planes(m[s]) for m, s in zip(marks, shared, strict=True)]
+    out["owners"] = [_bytes_of(o[s]) for o, s in zip(owners, shared, strict=True)]
+    out["counts"] = [_bytes_of(t[s]) for t, s in zip(total, shared, strict=False)]
+    out["busy_counts"] = [_bytes_of(t) for t in total[len(marks) :]]
+    out = out[(out["marks"].str.len() > 0) | (out["busy"].str.len() > 0) | (out["docs"].str.len() > 0)]
+    return out[[c.split()[0] for c in DEALT.split(", ")]]
+
+
+def _first_tokens(docs: DataFrame, id_col: str, text_col: str, parts: int, a: int, b: int) -> DataFrame:
+    """FIRST, rows of three kinds: 0 (identifier, size, two hashes of the set); 1 records of first tokens under order 0, packed by part;
+    2 (code, size, node, rank, indexed) of those with hot tokens. Tokens of one document have no record."""
+    names = [c.split()[0] for c in FIRST.split(", ")]
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        sized = np.frombuffer(b"".join(group["docs"]), dtype=SIZED)
+        firsts = sized[sized["first"] == 1]
+        parts_of = group["part"].to_numpy(np.int64)
+        marks = [_from_planes(x) for x in group["marks"]]
+        busy = [_numbers(x) for x in group["busy"]]
+        own = np.frombuffer(b"".join(group["own"]), dtype=OWN)
+        code = _joined([p << 32 | m.astype(np.int64) for p, m in zip(parts_of, marks, strict=True)], np.int64)
+        owner = _joined([_numbers(x).astype(np.int64) for x in group["owners"]], np.int64)
+        count = _joined([_numbers(x) for x in group["counts"]], np.uint32)
+        busy_code = _joined([p << 32 | m.astype(np.int64) for p, m in zip(parts_of, busy, strict=True)], np.int64)
+        busy_count = _joined([_numbers(x) for x in group["busy_counts"]], np.uint32)
+        if len(own):
+            by_code = np.argsort(busy_code)
+            at = by_code[np.searchsorted(busy_code[by_code], own["code"])]
+            code, owner, count = np.concatenate([code, own["code"]]), np.concatenate([owner, own["owner"]]), np.concatenate([count, busy_count[at]])
+        order = np.lexsort((_mix(code.astype(np.uint64)), count, owner))
+        code, owner, count = code[order], owner[order], count[order]
+        listed = np.bincount(owner, minlength=len(firsts))
+        n = firsts["n"][owner]
+        spot = n - listed[owner] + np.arange(len(owner)) - (np.cumsum(listed) - listed)[owner]  # behind the tokens of one document
+        kept = spot < _prefix_size(n, a, b)
+        code, owner, count, n, spot = code[kept], owner[kept], count[kept], n[kept], spot[kept]
+        indexed, node = spot < _index_size(n, a, b), firsts["h1"][owner]
+        hot = count > HOT
+        record = np.zeros(int((~hot).sum()), dtype=RECORD)
+        record["mark"], record["n"], record["node"] = (code & 0xFFFFFFFF)[~hot], (n | indexed * int(INDEXED))[~hot], node[~hot]
+        packed = _by_part((code >> 32)[~hot], record)
+        rank = (_rank(node[hot].copy()) ^ _U(1 << 63)).view(np.int64)  # the order of signed numbers
+        frames = [
+            pd.DataFrame({"kind": 0, "a": sized["id"], "b": sized["n"], "c": sized["h1"], "d": sized["h2"]}),
+            pd.DataFrame({"kind": 1, "part": list(packed), "packed": list(packed.values())}),
+            pd.DataFrame({"kind": 2, "a": code[hot], "b": n[hot], "c": node[hot], "d": rank, "e": indexed[hot].astype(np.int64)}),
+        ]
+        whole = {c: "Int64" for c in ("kind", "part", *"abcde")}  # before anything is missing: floats can't hold hashes
+        return pd.concat([f.astype({c: t for c, t in whole.items() if c in f}).reindex(columns=names).astype(whole) for f in frames])
+
+    return _deal(docs, id_col, text_col, parts).groupBy("part").applyInPandas(_count, DEALT).groupBy("batch").applyInPandas(place, FIRST)
 
 
 def _size_groups(sizes: pd.DataFrame, a: int, b: int) -> pd.DataFrame:
@@ -412,17 +402,17 @@ def _once(pairs: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """Documents on the left of a comparison: their first tokens under each order, inverted."""
+    """Documents on the left of a comparison: their first tokens under each hash order, inverted."""
 
-    def __init__(self, rows: list[tuple], a: int, b: int, orders: int, frequent: Frequent):
-        self.a, self.b, self.orders, self.frequent = a, b, orders, frequent
+    def __init__(self, rows: list[tuple], a: int, b: int, orders: range):
+        self.a, self.b, self.orders = a, b, orders
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.parts = np.array([r[1] for r in rows], dtype=np.int64)
         self.sets = [r[2] for r in rows]
         self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
         self.lists = []
-        for k in range(orders):
-            keys = [prefix(s, k, _prefix_size(len(s), a, b), frequent)[0] for s in self.sets]
+        for k in orders:
+            keys = [prefix(s, k, _prefix_size(len(s), a, b)) for s in self.sets]
             owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
             flat = np.concatenate(keys)
             order = np.argsort(flat, kind="stable")
@@ -432,11 +422,10 @@ class _Block:
         """Places on the left of the documents, of other parts, that are similar to this one."""
         n = len(tokens)
         could = (self.parts != part) & (self.sizes * self.b >= self.a * n) & (self.sizes * self.a <= self.b * n)
-        for k in range(self.orders):
+        for k, (flat, owner) in zip(self.orders, self.lists, strict=True):
             if not could.any():
                 return []
-            flat, owner = self.lists[k]
-            keys, _ = prefix(tokens, k, _prefix_size(n, self.a, self.b), self.frequent)
+            keys = prefix(tokens, k, _prefix_size(n, self.a, self.b))
             low, high = np.searchsorted(flat, keys, "left"), np.searchsorted(flat, keys, "right")
             counts = high - low
             total = int(counts.sum())
@@ -453,7 +442,30 @@ class _Block:
         return overlap * (self.a + self.b) >= self.a * (len(x) + len(y))
 
 
-def _verified(rows: DataFrame, a: int, b: int, orders: int, frequent: Frequent) -> DataFrame:
+def _meeting(rows: DataFrame, a: int, b: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and first tokens under all hash orders allow a link, from rows (key, side, id, n, firsts): each
+    document on side 1 against the one on side 0 of its key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = hub = None
+        for batch in batches:
+            out = []
+            for k, side, doc, n, firsts in zip(batch["key"], batch["side"], batch["id"], batch["n"], batch["firsts"], strict=True):
+                mine = [_from_planes(x) for x in firsts]
+                if side == 0:
+                    key, hub, size, theirs = k, doc, n, mine
+                elif k == key and min(n, size) * b >= a * max(n, size) and all(_meet(x, y) for x, y in zip(theirs, mine, strict=True)):
+                    out.append((hub, doc))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "side").select("key", "side", "id", "n", "firsts").mapInPandas(run, "a long, b long")
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> bool:
+    return bool((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).any())
+
+
+def _verified(rows: DataFrame, a: int, b: int, orders: range) -> DataFrame:
     """Links (a, b) that join parts, from rows (key, side 0 or 1, id, part, tokens): each document on side 1 against those on side 0 of its key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -477,7 +489,7 @@ def _verified(rows: DataFrame, a: int, b: int, orders: int, frequent: Frequent)
                 if not left:
                     continue
                 if block is None:
-                    block = _Block(left, a, b, orders, frequent)
+                    block = _Block(left, a, b, orders)
                 for i in block.links(part, tokens):
                     x, y = top(int(block.parts[i])), top(part)
                     if x != y:
@@ -497,27 +509,28 @@ def near_groups(
     Two documents link when their Jaccard similarity is at least similarity (a fraction). Words are what is between
     ASCII white space, A-Z in lower case. Documents with fewer than five words have their whole sequence as the one
     shingle; null texts and those without words have no shingles and no links, their own identifier is their component.
-    Identifiers are unique integers; rows with a null identifier get nulls and no links. An empty table gives an empty
-    result; other columns are not looked at.
+    Identifiers are integers. Where one repeats, each of its rows has its own set and, as all of them are one document's,
+    they need not share a component: a row's component is that of its set. Rows with a null identifier get nulls and no
+    links. Texts are taken whole, however long. An empty table gives an empty result; other columns are not looked at.
     """
     a, b = similarity
     spark = docs.sparkSession
     texts = docs.filter(F.col(id_col).isNotNull())
-    # parts for the text's length at most: a word and its space have two bytes, a token four; a quarter of the tokens has records
+    # parts for the text's length at most: a word and its space have two bytes, a token and its place eight
     length = int(texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * length // PART_BYTES + 1)
-    measured = saved(_measured(texts, id_col, text_col, parts), "measured")
-    sets = measured.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
+    first = saved(_first_tokens(texts, id_col, text_col, parts, a, b), "first-tokens")
+    sets = first.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
     classes = saved(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    frequent = _frequent(measured, parts)
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_once(_pairs(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in group["packed"]]), a, b)))
 
-    dealt = _dealt(texts, text_col, parts, a, b, frequent)
-    pairs = dealt.groupBy("part").applyInPandas(pair, "a long, b long, around long")
-    if len(frequent.hot_codes):
-        pairs = pairs.unionByName(_hot_pairs(saved(_hot_records(texts, text_col, parts, a, b, frequent), "hot-records"), a, b))
+    pairs = first.filter("kind = 1").select("part", "packed").groupBy("part").applyInPandas(pair, "a long, b long, around long")
+    hot = first.filter("kind = 2")
+    if not hot.isEmpty():
+        hot = hot.select(F.col("a").alias("code"), F.col("b").alias("n"), (F.col("e") == 1).alias("indexed"), F.col("c").alias("node"), F.col("d").alias("rank"))
+        pairs = pairs.unionByName(_hot_pairs(hot, a, b))
     pairs = saved(pairs.groupBy("a", "b").agg(F.max("around").alias("around")), "pairs")
     node = classes.select(F.col("h1").alias("a"), F.col("rep").alias("hub"))
     other = classes.select(F.col("h1").alias("b"), F.col("rep").alias("other"))
@@ -526,22 +539,28 @@ def near_groups(
 
     ids = saved(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct(), "candidates")
     picked = broadcast_if_small(ids)
+    hashed = range(1, orders)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [_planes(s) for s in shingle_sets(batch["text"].tolist())]})
+            sets = list(shingle_sets(batch["text"].tolist()))
+            firsts = [[_planes((prefix(s, k, _prefix_size(len(s), a, b)) >> _U(32)).astype(np.uint32)) for k in hashed] for s in sets]
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "firsts": firsts, "tokens": [_planes(s) for s in sets]})
 
     chosen = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(picked.withColumnRenamed("a", "id"), "id", "left_semi")
-    held = saved(chosen.mapInPandas(tokens, "id long, tokens binary"), "sets")
+    held = saved(chosen.mapInPandas(tokens, "id long, n long, firsts array<binary>, tokens binary"), "sets")
+
+    def keyed(found: DataFrame) -> DataFrame:
+        """(key, side, id): each first one of the pairs, side 0, and its others, about BLOCK at a time."""
+        degree = found.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = found.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+        rows = rows.withColumn("key", F.concat_ws("-", "a", "block"))
+        hubs = rows.select("key", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
+        return hubs.unionByName(rows.select("key", F.lit(1).alias("side"), F.col("b").alias("id")))
 
-    # pairs: each first one against its others, about BLOCK at a time
-    degree = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    keyed = edges.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    keyed = keyed.withColumn("key", F.concat_ws("-", "a", "block"))
-    hubs = keyed.select("key", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
-    rows = hubs.unionByName(keyed.select("key", F.lit(1).alias("side"), F.col("b").alias("id")))
-    rows = rows.join(held, "id").select("key", "side", "id", F.col("id").alias("part"), "tokens")
-    links = saved(_verified(rows, a, b, orders, frequent), "links")
+    meeting = saved(_meeting(keyed(edges).join(held.select("id", "n", "firsts"), "id"), a, b), "meeting-pairs")
+    rows = keyed(meeting).join(held.select("id", "tokens"), "id").select("key", "side", "id", F.col("id").alias("part"), "tokens")
+    links = saved(_verified(rows, a, b, range(0)), "links")
 
     # the documents around a hub that links leave in different components
     linked = components(links).select(F.col("node").alias("id"), F.col("label").alias("part"))
@@ -559,7 +578,7 @@ def near_groups(
     left = open_.filter("part <> main").withColumn("l", mine("lefts")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
     right = open_.withColumn("r", mine("rights")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     rows = left.select(key, F.lit(0).alias("side"), "id", "part").unionByName(right.select(key, F.lit(1).alias("side"), "id", "part"))
-    more = saved(_verified(rows.join(held, "id").select("key", "side", "id", "part", "tokens"), a, b, orders, frequent), "more-links")
+    more = saved(_verified(rows.join(held, "id").select("key", "side", "id", "part", "tokens"), a, b, hashed), "more-links")
 
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("label").alias("component"))
     classes = saved(classes.join(final, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "class-components")

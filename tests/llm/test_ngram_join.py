@@ -78,3 +78,20 @@ def test_prefixes_are_long_enough(n):
         least = -(-3 * (n + m) // 7)  # the smallest overlap that links sizes n and m
         if least <= n:
             assert J._index_size(n, 3, 4) >= n - least + 1 and J._prefix_size(m, 3, 4) >= m - least + 1
+
+
+def test_a_passage_of_many_documents_makes_no_more_pairs_than_documents(spark):
+    """Documents with 120 words of their own around a passage of 64: the passage's tokens come last, so none is a first token."""
+    for m in (200, 400):
+        rows = [(i, " ".join([f"d{i}a{k}" for k in range(60)] + [f"p{k}" for k in range(64)] + [f"d{i}b{k}" for k in range(60)])) for i in range(m)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert J._first_tokens(df, "doc_id", "text", 8, 3, 4).filter("kind <> 0").isEmpty()
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    from sparkloom.llm import graph_components as C
+
+    monkeypatch.setattr(C, "HEAVY", 5)
+    edges = [(1, i) for i in range(10, 40)] + [(50, i) for i in range(60, 90)] + [(39, 60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200), (None, 3)]
+    got = {r["node"]: r["label"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in [1, 50, *range(10, 40), *range(60, 90)]} == {1} and {got[i] for i in range(100, 141)} == {100} and len(got) == 62 + 41
