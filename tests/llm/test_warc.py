@@ -59,3 +59,39 @@ def test_foreign_records_that_hold_the_separator(spark, tmp_path):
 def test_empty_table(spark):
     path = warc.archive(spark.createDataFrame([], SCHEMA), "page_id", "url", "html")
     assert warc.read_chunks(spark, path).count() == 0
+
+
+def test_oversized_foreign_record_and_one_that_breaks_off(spark, tmp_path):
+    """Two files in one task: what the first leaves open takes nothing from the second; a long record comes in chunks."""
+    body = (b"line of a long payload\n" * 7 + b"\r\nWARC/1.0\r\n\r\n") * 4000
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n"
+    with gzip.open(tmp_path / "a.warc.gz", "wb") as f:
+        f.write(head % (b"long", len(body)) + body + b"\r\n\r\n" + head % (b"cut", 500) + b"only this")
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as f:
+        f.write(head % (b"next", 4) + b"next\r\n\r\n")
+    rows = warc.read_chunks(spark, f"file://{tmp_path}").coalesce(1).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["record_id"], []).append(r)
+    parts = by["<long>"]
+    assert b"".join(bytes(p["data"]) for p in parts) == body and len(parts) >= len(body) // (warc.CHUNK + 100)
+    assert max(len(p["data"]) for p in parts) <= warc.CHUNK + 100 and [p["last"] for p in parts] == [False] * (len(parts) - 1) + [True]
+    assert parts[-1]["sha1"] == hashlib.sha1(body).hexdigest()
+    assert [bytes(r["data"]) for r in by["<next>"]] == [b"next"] and not any(r["last"] for r in by.get("<cut>", []))
+
+
+def test_repeated_identifiers_and_a_plan_too_large_to_broadcast(spark, monkeypatch):
+    from sparkloom.llm import common
+
+    long = "é" * 100_000
+    rows = [(1, "u", "a", None), (1, "u", "b", None), (1, "u", "b", None), (2, "u", long, None), (3, "u", long, None), (None, "u", "x", None), (4, "u", long + "!", None)]
+    for limit in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        path = warc.archive(spark.createDataFrame(rows, SCHEMA).repartition(3), "page_id", "url", "html")
+        got = {}
+        for r in warc.read_chunks(spark, path).filter("last").collect():
+            got.setdefault(int(r["record_id"].split(":")[-1].rstrip(">")), []).append((r["record_type"], r["n_bytes"], r["sha1"]))
+        sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+        assert sorted(got[1]) == sorted([("response", 1, sha("a"))] + [("response", 1, sha("b"))] * 2)
+        assert got[2][0][0] == "revisit" and got[3] == [("response", 200_000, sha(long))] and got[4] == [("response", 200_001, sha(long + "!"))]
+        assert sorted(got) == [1, 2, 3, 4]
