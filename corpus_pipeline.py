@@ -33,8 +33,8 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their bins."""
-    return packing.pack(docs, CAPACITY_BYTES, F.octet_length("text"), F.col("source"), F.xxhash64("text"))
+    """Pieces, each with its text and its bin."""
+    return packing.pack_texts(docs, CAPACITY_BYTES, F.col("source"), F.xxhash64("text"), with_text=True)
 
 
 STAGES = [

@@ -67,3 +67,19 @@ def test_nulls_ties_long_and_empty(spark):
     with pytest.raises(ValueError):
         P.pack(df, 0, F.col("n"), F.col("source"), F.col("source"))
     assert isinstance(pd.DataFrame(out), pd.DataFrame)
+
+
+def test_texts_are_cut_between_characters_and_come_back(spark):
+    rows = [(1, "aé€😀" * 50, "s"), (2, "😀" * 40, "s"), (3, None, "s"), (4, "", "t"), (5, "x" * 64, "t"), (6, "x" * 65, "t"), (7, "é" * 1000, "u"), (7, "é" * 1000, "u"), (None, "€" * 30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("bin_id", F.lit("?"))
+    out = P.pack_texts(df, 64, F.col("source"), F.xxhash64("text"), with_text=True)
+    got = out.collect()
+    assert all(r["size"] == len(r["text"].encode()) <= 64 and "\ufffd" not in r["text"] for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["piece"], r["text"]))
+    assert all("".join(t for _, t in sorted(by[i])) == (text or "") for i, text, _ in rows if i != 7)
+    assert len(by[7]) == 2 * len(set(by[7])) and "".join(t for _, t in sorted(set(by[7]))) == "é" * 1000
+    held = P.bins(out).collect()
+    assert sum(len(b["pieces"]) for b in held) == len(got) and all(b["size"] <= 64 for b in held)
+    assert P.pack_texts(df.limit(0), 64, F.col("source"), F.col("source")).count() == 0
