@@ -66,3 +66,23 @@ def test_mined_rules_against_brute_force(spark):
         for i, u in enumerate(urls):
             best = max((v for c, v in want.items() if set(c) <= toks[u]), default=None)
             assert (round(found[i], 9) if i in found else None) == (round(best, 9) if best is not None else None)
+
+
+def test_a_template_of_many_keys_makes_few_itemsets(spark):
+    keys = "&".join(f"k{i}={{0}}" for i in range(30))
+    rows = [(f"https://t.biz/a/{i}?" + keys.format(i), i % 2 == 0 or i % 5 == 0) for i in range(400)] + [(f"https://ok.org/b/{i}", False) for i in range(400)]
+    rules = U.mine(spark.createDataFrame(rows, "url string, blocked boolean"), 0.01, 0.5, 3, 5).collect()
+    assert {len(r["tokens"]) for r in rules} == {1} and {"key:k0", "key:k29", "host:t.biz"} <= {r["tokens"][0] for r in rules}
+
+
+def test_rules_that_fail_on_held_out_urls_go_and_repeated_pages_are_judged_alone(spark):
+    rows = [(f"https://bad.biz/x/{i}", True) for i in range(200)] + [(f"https://ok.org/y/{i}", i % 9 == 0) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    held = labelled.filter(U.hold(labelled["url"]))
+    good = U.tested(U.mine(labelled.filter(~U.hold(labelled["url"])), 0.01, 0.6), held, 0.6).collect()
+    assert good and all(r["held_out"] == r["held_out_blocked"] > 20 for r in good)
+    wrong = spark.createDataFrame([(["host:ok.org"], 0.9, 0.1), (["host:none.org"], 0.9, 0.1)], U.RULE)
+    assert [r["tokens"] for r in U.tested(wrong, held, 0.6).collect()] == [["host:none.org"]]
+    pages = spark.createDataFrame([(1, "https://bad.biz/x/999"), (1, "https://ok.org/y/1"), (None, "https://bad.biz/x/999"), (2, None)], "page_id long, url string")
+    got = sorted((str(r["page_id"]), r["host"], r["verdict"]) for r in U.judge(pages, labelled, []).collect())
+    assert got == [("1", "bad.biz", "block"), ("1", "ok.org", "allow"), ("2", "", "allow"), ("None", "bad.biz", "block")]
