@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 A conversation's turns are collected as structs and sorted; neighbours of the same role share one block. Each
-turn looks at its neighbours by index, so the work is in proportion to the turns. Template:
+turn looks at its neighbours by index, and the spans of the mask are summed up in blocks of SPANS turns, so that the
+work is in proportion to the turns. Template:
 
     <|im_start|>ROLE\\nTEXT<|im_turn|>TEXT<|im_end|>\\n<|im_start|>ROLE\\n...
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Turns whose spans are gathered in one list.
+SPANS = 256
 START, TURN, END = "<|im_start|>", "<|im_turn|>", "<|im_end|>"
 
 
@@ -68,26 +71,36 @@ def format_chats(
         )
 
     chats = chats.select(conv_col, F.transform("turns", pieces).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,bytes:bigint>>").alias("spans"))
+    size = lambda p: (F.octet_length(p["head"]) + F.octet_length(p["x"]) + F.octet_length(p["tail"])).cast("long")
+    zero = F.lit(0).cast("long")
+    last_block = F.greatest(F.ceil(F.size("pieces") / SPANS).cast("int") - 1, F.lit(0))
+    chats = chats.withColumn("blocks", F.transform(F.sequence(F.lit(0), last_block), lambda i: F.slice(F.col("pieces"), i * SPANS + 1, F.lit(SPANS))))
+
+    def begin(acc: Column, block: Column) -> Column:
+        length = F.aggregate(block, zero, lambda n, p: n + size(p))
+        return F.struct((acc["at"] + length).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+
+    nothing = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("blocks", nothing, begin, lambda acc: acc["starts"])
 
     def add(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.octet_length(p["head"])
-        n = F.octet_length(p["x"]).cast("long")
-        span = F.struct(at.cast("long").alias("start"), n.alias("bytes"))
-        return F.struct(
-            (at + n + F.octet_length(p["tail"])).cast("long").alias("at"),
-            F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+        start = (acc["at"] + F.octet_length(p["head"])).cast("long")
+        span = F.struct(start.alias("start"), F.octet_length(p["x"]).cast("long").alias("bytes"))
+        return F.struct((acc["at"] + size(p)).alias("at"), F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def spans(z: Column) -> Column:
+        start = F.struct(z["start"].alias("at"), F.array().cast("array<struct<start:bigint,bytes:bigint>>").alias("spans"))
+        return F.aggregate(z["block"], start, add, lambda acc: acc["spans"])
 
     return chats.select(
         conv_col,
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["x"], p["tail"])), "").alias("formatted"),
-        F.aggregate("pieces", start, add, lambda acc: acc["spans"]).alias("loss_mask"),
+        F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("block"), starts.alias("start")), spans)).alias("loss_mask"),
     )
 
 
-def read_chats(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """The inverse: (conv_col, turns array<struct<role, text>>, loss array<string>), read from the formatted text and its mask."""
+def read_chats(chats: DataFrame, conv_col: str = "conv_id", *more: Column) -> DataFrame:
+    """The inverse: (conv_col, turns array<struct<role, text>>, loss array<string>, *more), read from the formatted text and its mask."""
     lit = lambda s: "\\Q" + s + "\\E"
     blocks = F.slice(F.split("formatted", lit(START)), 2, F.greatest(F.size(F.split("formatted", lit(START))) - 1, F.lit(0)))
 
@@ -102,4 +115,5 @@ def read_chats(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         conv_col,
         F.flatten(F.transform(blocks, turns)).alias("turns"),
         F.transform("loss_mask", lambda s: unescape(F.substr(raw, (s["start"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))).alias("loss"),
+        *more,
     )

@@ -17,8 +17,7 @@ PSEUDONYM_KEY = "sparkloom-demo-key"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, CAPACITY_BYTES, F.octet_length("text"), F.col("source"), F.xxhash64("text"))
+    return packing.pack_texts(table(spark, sf_dir, "documents"), CAPACITY_BYTES, F.col("source"), F.xxhash64("text"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
@@ -53,7 +52,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     chats = chat.format_chats(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
-    read = chat.read_chats(chats).join(chats.select("conv_id", F.char_length("formatted").alias("formatted_chars")), "conv_id")
+    read = chat.read_chats(chats, "conv_id", F.char_length("formatted").alias("formatted_chars"))
     per_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
     return read.select(
@@ -116,6 +115,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     # a page is labelled through the document whose number ends its path
     number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]{1,18})', 1) as bigint)")
+    # labels of url hashes of remainder 2 are held out: they measure the rules, see url_rules.hold
     bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     labelled = pages.select("url", number.alias("doc_id")).join(bad, "doc_id").select("url", "blocked")
     return url_rules.judge(pages, labelled, FIXED_RULES)

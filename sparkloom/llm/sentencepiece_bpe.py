@@ -54,11 +54,62 @@ class _Parts(dict):
         return found
 
 
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def check_settings(raw: bytes) -> None:
+    """ValueError for a model whose settings this encoder doesn't follow: it does merge models without normalisation, with a space
+    before the text, white space kept and escaped at the front, and plain, byte, control and unknown pieces."""
+    trainer, normaliser, kinds = {}, {}, set()
+    for k, v in _fields(raw):
+        if k == 1:
+            kinds.add(dict(_fields(v)).get(3, 1))
+        elif k == 2:
+            trainer = dict(_fields(v))
+        elif k == 3:
+            normaliser = dict(_fields(v))
+    bad = {
+        "model type": trainer.get(3, 1) != 2,
+        "white space as suffix": trainer.get(24, 0) != 0,
+        "normalisation": bool(normaliser.get(2)),
+        "no space before the text": normaliser.get(3, 1) != 1,
+        "white space removed": normaliser.get(4, 1) != 0,
+        "white space not escaped": normaliser.get(5, 1) != 1,
+        "user-defined or unused pieces": bool(kinds - {1, 2, 3, 6}),
+    }
+    if any(bad.values()):
+        raise ValueError("unsupported model: " + ", ".join(k for k, v in bad.items() if v))
+
+
 class MergeModel:
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
 
+        with open(path, "rb") as f:
+            check_settings(f.read())
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -210,7 +261,8 @@ def model(path: str) -> MergeModel:
 
 
 def encode(text: Column, path: str) -> Column:
-    """array<int> of codes of a whole text. Null and empty texts have no codes."""
+    """array<int> of codes of a whole text, however long. Null and empty texts have no codes; equal texts have equal ones. A model
+    with settings that aren't followed is a ValueError (see check_settings)."""
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:

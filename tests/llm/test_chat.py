@@ -34,3 +34,17 @@ def test_ties_have_one_order(spark):
 def test_empty_table(spark):
     chats = chat.format_chats(spark.createDataFrame([], SCHEMA))
     assert chat.read_chats(chats).count() == 0
+
+
+def test_spans_of_more_turns_than_a_block(spark):
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], f"é{i}&", None) for i in range(3 * chat.SPANS + 7)]
+    got = read(spark, rows)[1]
+    assert got["loss"] == [x[3] for x in rows if x[2] == "assistant"] and len(got["turns"]) == len(rows)
+
+
+def test_query_keeps_the_null_conversation(spark, tmp_path):
+    from sparkloom.llm import queries
+
+    spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "assistant", "b"), (7, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in queries.op5_chat_format(spark, f"file://{tmp_path}").collect()}
+    assert got == {None: (2, 1), 7: (1, 0), -1: (2, len("<|im_end|><|im_start|>assistant ok"))}

@@ -55,3 +55,15 @@ def test_nulls_and_empty_tables(spark):
     coded = df.select("k", S.encode(F.col("ids"), PATH).alias("ids")).withColumn("text", S.decode(F.col("ids"), PATH))
     assert [(list(r["ids"]), r["text"]) for r in coded.orderBy("k").collect()] == [([], ""), ([], ""), (LIBRARY.encode("hi"), "hi")]
     assert df.limit(0).select(S.encode(F.col("ids"), PATH)).count() == 0
+
+
+def test_models_with_other_settings_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    S.check_settings(raw)
+    field = lambda k, body: bytes([k << 3 | 2, len(body)]) + body
+    for more, what in ((field(3, b"\x18\x00"), "no space"), (field(2, b"\x18\x01"), "model type"), (field(1, b"\x0a\x01a\x18\x04"), "user-defined"), (field(3, b"\x12\x01x"), "normalisation")):
+        with pytest.raises(ValueError, match=what):
+            S.check_settings(raw + more)
