@@ -41,7 +41,7 @@ from .graph_components import components
 
 SHINGLE = 5
 BLOCK = 256
-SMALL, FEW, LARGE, HUBS = 4, 2, 16, 16
+SMALL, FEW, LARGE, HUBS = 4, 2, 16, 4
 #: Bytes of text that are hashed at once, and tokens that a task gathers before it passes them on.
 TEXT_BYTES, GATHERED = 1 << 20, 2_000_000
 #: Target bytes of a part of the dealt tokens.
@@ -554,7 +554,7 @@ def near_groups(
         """(key, side, id): each first one of the pairs, side 0, and its others, about BLOCK at a time."""
         degree = found.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         rows = found.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-        rows = rows.withColumn("key", F.concat_ws("-", "a", "block"))
+        rows = saved(rows.select("a", "b", F.concat_ws("-", "a", "block").alias("key")), "keyed")
         hubs = rows.select("key", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
         return hubs.unionByName(rows.select("key", F.lit(1).alias("side"), F.col("b").alias("id")))
 
