@@ -25,10 +25,10 @@ class Registry:
 
 
 def load() -> Registry:
-    from . import documents, graphs, matching, metrics, plans, quality, streams, warehouse
+    from . import documents, graphs, knowledge, kpi, matching, metrics, plans, quality, retrieval, streams, sync, warehouse
 
     out = Registry()
-    for module in (plans, metrics, warehouse, quality, documents, graphs, matching, streams):
+    for module in (plans, metrics, warehouse, quality, documents, graphs, matching, streams, kpi, retrieval, knowledge, sync):
         out.queries |= module.query.queries
         out.sql |= module.query.sql
     return out

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from sparkloom.plans.query_plan import build, from_dict
-from sparkloom.plans.steps import run_steps
+from sparkloom.plans.query_plan import between, bucket, build, from_dict, named
+from sparkloom.plans.steps import narrowed, run_steps
 from sparkloom.semantic.model import star
 from sparkloom.sources.tables import read
 
@@ -162,3 +162,24 @@ def plan_window_frames(spark, d):
         F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate")).alias("day_rank"),
         F.ntile(4).over(w).alias("quarter"),
     )
+
+
+@query("""WITH g AS (SELECT c_mktsegment, date_trunc('quarter', o_orderdate)::DATE AS q, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2)
+SELECT c_mktsegment, q, total, round(sum(total) OVER (PARTITION BY c_mktsegment ORDER BY q ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS two, rank() OVER (PARTITION BY q ORDER BY total DESC) AS place, ntile(2) OVER (PARTITION BY c_mktsegment ORDER BY q) AS half FROM g""")
+def plan_named_windows(spark, d):
+    """Logical names, a time bucket by its word, a range of dates, frames and ranks, all from a plan."""
+    catalog = star(spark, d)
+    plan, drops = from_dict({
+        "table": "order", "also": ["customer"], "derived": {"q": bucket("o_orderdate", "季度")}, "groupBy": ["mktsegment", "q"], "aggregations": [agg("total", "sum", "totalprice")],
+        "windows": {"two": "sum(total) over (partition by c_mktsegment order by q rows between 1 preceding and current row)", "place": "rank() over (partition by q order by total desc)", "half": "ntile(2) over (partition by c_mktsegment order by q)"},
+    })
+    assert not drops
+    df = build(catalog, between(named(catalog, plan), "o_orderdate", "1999-01-01", "2000-12-31"))
+    return df.select("c_mktsegment", F.col("q").cast("date").alias("q"), F.round("total", 2).alias("total"), F.round("two", 2).alias("two"), "place", "half")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20)")
+def plan_steps_narrow(spark, d):
+    """A second step over what the first one found."""
+    best = _plan(spark, d, table="customer", columns=["c_custkey", "c_acctbal"], sort=[{"column": "c_acctbal", "order": "desc"}, {"column": "c_custkey"}], rowLimit=20)
+    return narrowed(read(spark, d, "orders"), "o_custkey", best, "c_custkey").select("o_orderkey")

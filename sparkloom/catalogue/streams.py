@@ -46,3 +46,23 @@ def stream_routing(spark, d):
     named = F.when(kind == "view", "order_created").when(kind == "purchase", "order_updated").when(kind == "signup", "order_line_deleted").otherwise(kind)
     rows = read(spark, d, "events").select(named.alias("event_type"), (F.col("event_id") % 7).alias("attempts"))
     return S.routed(rows).groupBy("status", S.action(F.col("event_type")).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT *, max(ts) OVER () - INTERVAL 1 DAY AS mark FROM events), w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, mark, event_type, value FROM e)
+SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 2) AS value FROM w WHERE start + INTERVAL 6 HOUR <= mark GROUP BY ALL""")
+def stream_tumbling_closed(spark, d):
+    """Windows as they close: the watermark ends their state, and each is given once."""
+    return S.drained(S.tumbling(S.source(spark, d, "events", S.EVENTS), "6 hours"), "append", "tumbling-closed")
+
+
+@query("""SELECT status, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts FROM (SELECT CASE WHEN event_type = 'click' OR event_id % 50 = 0 THEN 'REJECTED' WHEN event_id % 7 >= 5 THEN 'DEAD' ELSE 'PENDING' END AS status, event_id % 7 AS attempts FROM events) GROUP BY 1 UNION ALL SELECT 'RETRIED', count(*), CAST(sum(event_id % 7 + 1) AS BIGINT) FROM events WHERE event_type <> 'click' AND event_id % 50 <> 0 AND event_id % 7 < 5""")
+def stream_dead_letters(spark, d):
+    named = F.when(F.col("event_type") == "click", "click").otherwise("order_updated")
+    payload = F.when(F.col("event_id") % 50 == 0, F.repeat(F.lit("x"), (1 << 20) + 1)).otherwise("x")
+    rows = S.routes(read(spark, d, "events").select(named.alias("event_type"), (F.col("event_id") % 7).alias("attempts"), payload.alias("payload")))
+    rows["RETRIED"] = S.failed(rows["PENDING"], F.lit("no answer"))
+    out = None
+    for name, df in rows.items():
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts")).withColumn("status", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -18,8 +18,8 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def slices(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """(key, chunk_no, start, chunk): a long block cut at fixed steps; the last one may lie inside the one before."""
-    rows = df.select(key, text, F.posexplode(F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(size - overlap))).alias("chunk_no", "start"))
+    """(key, chunk_no, start, chunk): a long block cut at fixed steps; the last one may lie inside the one before. An empty one has no chunk."""
+    rows = df.filter(F.char_length(text) > 0).select(key, text, F.posexplode(F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(size - overlap))).alias("chunk_no", "start"))
     return rows.select(key, "chunk_no", "start", F.substr(text, F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 

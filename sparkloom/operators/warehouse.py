@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sparkloom.sources.shared import saved
+
 from sparkloom.semantic.model import ratio
 
 
@@ -41,8 +43,12 @@ def dim_date(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 
 def surrogate(df: DataFrame, code: str, key: str) -> DataFrame:
-    """Numbers from 1 in the order of codes, for a dimension: few distinct codes, so one ordered window is right."""
-    return df.select(code).filter(F.col(code).isNotNull()).distinct().withColumn(key, F.row_number().over(Window.orderBy(code)))
+    """Numbers from 1 in the order of codes, for a dimension: codes are dealt by range, numbered in each part, and the parts' counts added before."""
+    codes = saved(df.select(code).filter(F.col(code).isNotNull()).distinct().repartitionByRange(code).withColumn("__part", F.spark_partition_id()), "codes")
+    counts = codes.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    begin = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    numbered = codes.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(code)))
+    return numbered.join(F.broadcast(counts.select("__part", begin.alias("__begin"))), "__part").select(code, (F.col("__begin") + F.col("__rn")).cast("int").alias(key))
 
 
 def union_distinct(frames: list[DataFrame]) -> DataFrame:

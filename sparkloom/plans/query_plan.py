@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkloom.semantic.model import Catalog, CompileError
 
 MOST_ROWS = 1000
+# fixed values: a target that says there is no answer; words of time buckets
+UNANSWERABLE = ("UNANSWERABLE", "无法回答")
+BUCKETS = {"day": "day", "日": "day", "week": "week", "周": "week", "month": "month", "月": "month", "quarter": "quarter", "季度": "quarter", "year": "year", "年": "year"}
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "count_distinct": F.count_distinct, "min": F.min, "max": F.max,
     "stddev": F.stddev_samp, "variance": F.var_samp, "median": F.median,
@@ -44,6 +48,8 @@ class Plan:
     per_group_limit: int | None = None
     shares: tuple[tuple[str, str], ...] = ()  # (alias of the share, alias of the amount)
     derived: dict[str, str] = field(default_factory=dict)  # column -> expression, before grouping
+    windows: dict[str, str] = field(default_factory=dict)  # column -> window expression, after grouping: ranks, frames
+    nulls: str = "large"  # whether nulls sort as the largest or the smallest value
 
 
 def limit_of(x: Any) -> int | None:
@@ -69,6 +75,8 @@ def from_dict(raw: dict[str, Any]) -> tuple[Plan | None, Counter]:
 
     if not isinstance(raw.get("table"), str) or not raw["table"].strip():
         return None, Counter({("table", "missing"): 1})
+    if raw["table"].strip().upper() in UNANSWERABLE:
+        return None, Counter({("table", "unanswerable"): 1})
     aggregations = []
     for x in raw.get("aggregations") or []:
         known = isinstance(x, dict) and x.get("alias") and (x.get("formula") or (x.get("function") in AGGREGATES and (x.get("column") or x["function"] == "count")))
@@ -89,6 +97,7 @@ def from_dict(raw: dict[str, Any]) -> tuple[Plan | None, Counter]:
     return Plan(
         raw["table"].strip(), texts("columns"), texts("conditions"), texts("also"), texts("groupBy"), tuple(aggregations), texts("having"),
         tuple(sort), row_limit, texts("partitionBy"), per_group, tuple(map(tuple, raw.get("shares") or ())), dict(raw.get("derived") or {}),
+        dict(raw.get("windows") or {}), raw.get("nulls") if raw.get("nulls") in ("large", "small") else "large",
     ), drops
 
 
@@ -116,8 +125,77 @@ def refine(plan: Plan, column: str, comparison: str, value: str) -> Plan:
     return replace(plan, conditions=(*plan.conditions, f"{column} {comparison} {value}"))
 
 
+def between(plan: Plan, column: str, low: str, high: str) -> Plan:
+    """One more condition, closed at both ends; a date that is none or a reversed range changes nothing."""
+    try:
+        first, last = date.fromisoformat(low), date.fromisoformat(high)
+    except ValueError:
+        return plan
+    return replace(plan, conditions=(*plan.conditions, f"{column} between date'{first}' and date'{last}'")) if first <= last else plan
+
+
+def bucket(column: str, word: str) -> str:
+    """The expression of a time bucket from its word."""
+    if word.strip().lower() not in BUCKETS:
+        raise CompileError("UNKNOWN_BUCKET", word)
+    return f"date_trunc('{BUCKETS[word.strip().lower()]}', {column})"
+
+
+def equality(text: str) -> tuple[str, str] | None:
+    """The sides of "A = B" with exactly one sign; None for anything else."""
+    left, sign, right = (x.strip() for x in text.partition("="))
+    if not sign or not left or not right or "=" in right or left[-1] in "<>!":
+        return None
+    return left, right
+
+
+def named(catalog: Catalog, plan: Plan) -> Plan:
+    """The plan with logical names and aliases of columns as physical ones; what is none (an alias of the plan, an expression) stays."""
+    own = {x.alias for x in plan.aggregations} | {s for s, _ in plan.shares} | set(plan.derived) | set(plan.windows)
+
+    def name(x: str) -> str:
+        if x in own:
+            return x
+        try:
+            return catalog.physical(x)
+        except CompileError as e:
+            if e.reason == "AMBIGUOUS_COLUMN":
+                for t in (plan.table, *plan.also):
+                    if x in catalog.tables[t].columns:
+                        return catalog.tables[t].columns[x]
+                raise
+            return x
+
+    return replace(
+        plan, columns=tuple(map(name, plan.columns)), group_by=tuple(map(name, plan.group_by)), partition_by=tuple(map(name, plan.partition_by)),
+        sort=tuple((name(c), o) for c, o in plan.sort), aggregations=tuple(replace(x, column=x.column and name(x.column)) for x in plan.aggregations),
+    )
+
+
+def hints(catalog: Catalog, name: str, most: int = 3) -> list[str]:
+    """What a name that no table has may mean: the tables that own it, a time bucket's word, or the nearest names by edit distance."""
+    last = name.rpartition(".")[2].lower()
+    known = {(c, t.name) for t in catalog.tables.values() for c in (*t.columns, *t.columns.values())}
+    owners = sorted({t for c, t in known if c.lower() == last})
+    if owners:
+        return [f"{t}.{last}" for t in owners]
+    if last in BUCKETS:
+        return [f"{bucket('a date column', last)}"]
+    rows = [(_distance(last, c.lower()), f"{t}.{c}") for c, t in known]
+    return [n for d, n in sorted(rows)[:most] if d <= max(2, len(last) // 2)]
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def build(catalog: Catalog, plan: Plan) -> DataFrame:
-    """The plan's rows. Shares are taken of all groups, before any rank or limit cuts rows."""
+    """The plan's rows; see named for logical names. Shares are taken of all groups, before any rank or limit cuts rows."""
     df = catalog.joined(plan.table, list(plan.also))
     for c in plan.conditions:
         df = df.filter(F.expr(f"({c})"))
@@ -131,6 +209,8 @@ def build(catalog: Catalog, plan: Plan) -> DataFrame:
         df = df.groupBy(*plan.group_by).agg(*aggregates)
     elif plan.columns:
         df = df.select(*plan.columns)
+    for name, e in plan.windows.items():
+        df = df.withColumn(name, F.expr(e))
     if plan.shares:  # one row of totals, not a window over all rows in one task
         totals = df.agg(*[F.sum(amount).alias(f"__of_{share}") for share, amount in plan.shares])
         df = df.join(F.broadcast(totals))
@@ -140,10 +220,10 @@ def build(catalog: Catalog, plan: Plan) -> DataFrame:
     for h in plan.having:
         df = df.filter(F.expr(f"({h})"))
     if plan.per_group_limit:
-        by = Window.partitionBy(*plan.partition_by).orderBy(*[ordered(*s) for s in plan.sort])
+        by = Window.partitionBy(*plan.partition_by).orderBy(*[ordered(*s, plan.nulls) for s in plan.sort])
         return df.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= plan.per_group_limit)
     if plan.sort:
-        df = df.orderBy(*[ordered(*s) for s in plan.sort])
+        df = df.orderBy(*[ordered(*s, plan.nulls) for s in plan.sort])
     return df.limit(plan.row_limit) if plan.row_limit else df
 
 

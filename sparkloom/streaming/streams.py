@@ -6,6 +6,7 @@ runs again writes the same.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.sources import shared
@@ -30,7 +31,10 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    rows = spark.read.schema(schema).parquet(spark_path)
+    try:
+        rows = spark.read.schema(schema).parquet(spark_path)
+    except AnalysisException:  # no batch has come
+        return spark.createDataFrame([], schema)
     return rows.select(*schema.names)
 
 
@@ -75,20 +79,33 @@ def due(schedules: DataFrame, now: Column, most: int = 50) -> DataFrame:
     return schedules.filter(F.col("active") & (F.col("next_run") <= now)).orderBy("next_run", "schedule_id").limit(most)
 
 
-def upsert_batches(stream: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
-    """The newest row of each key: each batch is merged into a new version of the table."""
-    from sparkloom.sources.tables import latest, merge
+def upsert_batches(stream: DataFrame, key: list[str], order: str, name: str, root: str | None = None) -> DataFrame:
+    """The newest row of each key: each batch is merged into a new version of the table.
+
+    Versions and the stream's position are under root in the shared folder, so that a run with the same root goes on where
+    one ended, and a batch that comes again changes nothing.
+    """
+    from sparkloom.sources.sync import Versions, upsert
 
     spark, schema = stream.sparkSession, stream.schema
-    out = shared.path(spark, name)
-    version: list[str] = []
+    out = root or shared.path(spark, name)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = latest(batch, key, [F.desc(order)])
-        if version:
-            rows = latest(merge(spark.read.schema(schema).parquet(version[-1]), rows, key), key, [F.desc(order)])
-        rows.write.mode("overwrite").parquet(f"{out}/v{epoch}")
-        version.append(f"{out}/v{epoch}")
+        upsert(Versions(batch.sparkSession, f"{out}/table", fields), batch, key, order, epoch)
 
     stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(schema).parquet(version[-1]) if version else spark.createDataFrame([], schema)
+    return Versions(spark, f"{out}/table", fields).read()
+
+
+def routes(events: DataFrame, payload: str = "payload", most_bytes: int = 1 << 20) -> dict[str, DataFrame]:
+    """Rows of routed by what becomes of them: those to be delivered, those given up, those refused; a payload of more than most_bytes is refused."""
+    rows = routed(events)
+    large = F.coalesce(F.octet_length(payload) > most_bytes, F.lit(False)) if payload in events.columns else F.lit(False)
+    rows = rows.withColumn("status", F.when(large, "REJECTED").otherwise(F.col("status")))
+    return {s: rows.filter(F.col("status") == s) for s in ("PENDING", "DEAD", "REJECTED")}
+
+
+def failed(rows: DataFrame, error: Column, most_chars: int = 500) -> DataFrame:
+    """Rows after a delivery that failed: one attempt more and the error, cut."""
+    return rows.withColumn("attempts", F.col("attempts") + 1).withColumn("last_error", F.substring(error, 1, most_chars))
