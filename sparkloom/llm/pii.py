@@ -12,7 +12,8 @@ and 555.123.4567; other national forms are not found. Cards are 13 to 19 digits,
 (check number 97) are written closed or in groups of four. Secrets have one of NAMES before them; one with hyphens or
 underscores needs a digit. A letter that is not ASCII stays in its block of 16 code points.
 
-Every whole text is searched. It is split at its matches and put together again with the pseudonyms between.
+Every whole text is looked at. Each pattern needs a digit, an @ or one of NAMES (NEEDED); a text with any of these is
+searched, split at its matches, and put together again with the pseudonyms between.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SECRET = rf"""(?<={NAMES}\s{{0,3}}[=:]\s{{0,3}}["']?)(?:[A-Za-z0-9]{{20,}}+(?![_
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 #: CARD first: its groups are \1 and \2.
 ANY = "|".join([CARD, EMAIL, IBAN, PHONE, NATIONAL, SSN, ADDRESS, DATE, SECRET])
+#: What any match of ANY has in it, or, of SECRET, right before it.
+NEEDED = "[0-9@]|" + NAMES
 #: 400 years of days, as a product.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -252,7 +255,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     column is kept. Equal values under one key have equal pseudonyms; the key is as secret as the values.
     """
     text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "new")
-    found = docs.withColumn(old, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = docs.withColumn(old, F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     found = found.withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
     both = F.arrays_zip(F.col(old).alias("x"), F.col(new).alias("y"))
     changed = F.coalesce(F.size(F.filter(both, lambda z: z["x"] != z["y"])), F.lit(0))
