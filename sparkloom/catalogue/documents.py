@@ -34,15 +34,9 @@ def doc_hash_dedup(spark, d):
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(r"SELECT k AS title, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}]', '', 'g')) AS k FROM documents) WHERE k <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
-def doc_title_overlap(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", text.title_key(F.substring("text", 1, 40)).alias("title")).filter("title <> ''")
-    return rows.groupBy("title").agg(F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
-
-
 @query(r"SELECT k AS title, count(DISTINCT page_id) AS docs FROM (SELECT page_id, lower(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[^\p{L}\p{N}]', '', 'g')) AS k FROM pages) WHERE k <> '' GROUP BY 1 HAVING count(DISTINCT page_id) > 1")
-def doc_title_overlap_whole(spark, d):
-    """Whole titles that pages share; doc_title_overlap compares the first 40 characters of documents, as its SQL does."""
+def doc_title_overlap(spark, d):
+    """Whole titles that pages share."""
     title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
     rows = read(spark, d, "pages").select("page_id", text.title_key(title).alias("title")).filter("title <> ''")
     return rows.groupBy("title").agg(F.count_distinct("page_id").alias("docs")).filter("docs > 1")
@@ -103,27 +97,15 @@ def json_props(spark, d):
 L2 = "round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))), 4)"
 
 
-@query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 7) WHERE rn <= 5")
-def vec_topk_l2(spark, d):
-    v = read(spark, d, "embeddings")
-    return vectors.top_k(v, v.filter("vec_id % 100 = 7"), 5).withColumn("distance", F.round("distance", 4))
-
-
-@query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 7 AND e.label IN (1, 3)) WHERE rn <= 5")
-def vec_filtered_topk(spark, d):
-    v = read(spark, d, "embeddings")
-    return vectors.top_k(vectors.allowed(v, label=[1, 3]), v.filter("vec_id % 100 = 7"), 5).withColumn("distance", F.round("distance", 4))
-
-
-# the searches of the review: every row whose identifier is divisible by 20
+# searches: every row whose identifier is divisible by 20, against all rows
 @query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rn <= 5")
-def vec_topk_l2_whole(spark, d):
+def vec_topk_l2(spark, d):
     v = read(spark, d, "embeddings")
     return vectors.top_k(v, v.filter("vec_id % 20 = 0"), 5, places=4)
 
 
 @query(f"SELECT query_id, vec_id, rn, distance FROM (SELECT q.vec_id AS query_id, e.vec_id, {L2} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS INT) AS rn FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3)) WHERE rn <= 5")
-def vec_filtered_topk_whole(spark, d):
+def vec_filtered_topk(spark, d):
     v = read(spark, d, "embeddings")
     return vectors.top_k(vectors.allowed(v, label=[1, 3]), v.filter("vec_id % 20 = 0"), 5, places=4)
 

@@ -11,17 +11,13 @@ from . import Registry
 
 query = Registry()
 
-EDGES = """l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 42),
+EDGES = """l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 g AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey),
 w AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), deg AS (SELECT a AS node, count(*) AS degree FROM w GROUP BY 1)"""
 
 
-#: The lines that the registered SQL takes; graphs named _whole are over all lines.
-LARGE_LINES = "l_quantity >= 42"
-
-
-def _edges(spark, d, lines=LARGE_LINES):
-    x = read(spark, d, "lineitem").filter(lines).select("l_orderkey", "l_suppkey").distinct()
+def _edges(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     y = x.select("l_orderkey", F.col("l_suppkey").alias("other"))
     return graph.undirected(x.join(y, "l_orderkey").filter("l_suppkey < other"), "l_suppkey", "other")
 
@@ -31,66 +27,51 @@ def _groups(spark, d):
 
 
 @query(f"WITH {EDGES} SELECT node, degree FROM deg")
-def graph_degree(spark, d, lines=LARGE_LINES):
-    return graph.degrees(_edges(spark, d, lines))
+def graph_degree(spark, d):
+    return graph.degrees(_edges(spark, d))
 
 
 @query(f"WITH {EDGES}, one AS (SELECT b AS node FROM w WHERE a = 1), two AS (SELECT DISTINCT w.b AS node FROM one JOIN w ON one.node = w.a) SELECT node, 1 AS depth FROM one UNION ALL SELECT node, 2 FROM two WHERE node <> 1 AND node NOT IN (SELECT node FROM one)")
-def graph_hops_2(spark, d, lines=LARGE_LINES):
-    return graph.hops(_edges(spark, d, lines), spark.range(1, 2).withColumnRenamed("id", "node"), 2)
+def graph_hops_2(spark, d):
+    return graph.hops(_edges(spark, d), spark.range(1, 2).withColumnRenamed("id", "node"), 2)
 
 
 @query(f"WITH RECURSIVE {EDGES}, r AS (SELECT 2::BIGINT AS node, 0 AS depth UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON r.node = w.a WHERE r.depth < 4) SELECT node, min(depth) AS depth FROM r WHERE node <> 2 GROUP BY 1")
-def graph_hops_recursive(spark, d, lines=LARGE_LINES):
-    return graph.hops(_edges(spark, d, lines), spark.range(2, 3).withColumnRenamed("id", "node"), 4)
+def graph_hops_recursive(spark, d):
+    return graph.hops(_edges(spark, d), spark.range(2, 3).withColumnRenamed("id", "node"), 4)
 
 
 @query(f"""WITH {EDGES}, c AS (SELECT g.a, g.b, x.b AS c FROM g JOIN w x ON x.a = g.a JOIN w y ON y.a = g.b AND y.b = x.b)
 SELECT g.a, g.b, count(c.c) AS common, round(coalesce(sum(1 / nullif(ln(degree), 0)), 0), 6) AS adamic_adar FROM g LEFT JOIN c ON g.a = c.a AND g.b = c.b LEFT JOIN deg ON deg.node = c.c GROUP BY 1, 2""")
-def graph_adamic_adar(spark, d, lines=LARGE_LINES):
-    return graph.common_neighbours(_edges(spark, d, lines))
+def graph_adamic_adar(spark, d):
+    return graph.common_neighbours(_edges(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT s_suppkey, coalesce(degree, 0) AS degree FROM supplier LEFT JOIN deg ON node = s_suppkey WHERE coalesce(degree, 0) <= 1")
-def graph_gaps(spark, d, lines=LARGE_LINES):
-    df = read(spark, d, "supplier").join(graph.degrees(_edges(spark, d, lines)), F.col("node") == F.col("s_suppkey"), "left")
+def graph_gaps(spark, d):
+    df = read(spark, d, "supplier").join(graph.degrees(_edges(spark, d)), F.col("node") == F.col("s_suppkey"), "left")
     return df.select("s_suppkey", F.coalesce("degree", F.lit(0)).alias("degree")).filter("degree <= 1")
 
 
 @query(f"WITH {EDGES} SELECT w.a AS id, count(DISTINCT s_nationkey) AS groups, count(*) AS degree FROM w JOIN supplier ON w.b = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) >= 3 ORDER BY groups DESC, degree DESC, id LIMIT 20")
-def graph_bridges(spark, d, lines=LARGE_LINES):
-    return graph.bridges(_edges(spark, d, lines), _groups(spark, d))
+def graph_bridges(spark, d):
+    return graph.bridges(_edges(spark, d), _groups(spark, d))
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT s_nationkey AS grp, count(*) AS nodes FROM supplier GROUP BY 1), i AS (SELECT x.s_nationkey AS grp, count(*) AS e FROM g JOIN supplier x ON g.a = x.s_suppkey JOIN supplier y ON g.b = y.s_suppkey WHERE x.s_nationkey = y.s_nationkey GROUP BY 1)
 SELECT grp, nodes, coalesce(e, 0) AS edges, round(coalesce(e, 0) / nullif(nodes * (nodes - 1) / 2.0, 0), 3) AS cohesion FROM n LEFT JOIN i USING (grp)""")
-def graph_cohesion(spark, d, lines=LARGE_LINES):
-    return graph.cohesion(_edges(spark, d, lines), _groups(spark, d))
+def graph_cohesion(spark, d):
+    return graph.cohesion(_edges(spark, d), _groups(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT a, b FROM g JOIN supplier x ON g.a = x.s_suppkey JOIN supplier y ON g.b = y.s_suppkey WHERE x.s_nationkey <> y.s_nationkey")
-def graph_surprising(spark, d, lines=LARGE_LINES):
-    return graph.surprising(_edges(spark, d, lines), _groups(spark, d))
+def graph_surprising(spark, d):
+    return graph.surprising(_edges(spark, d), _groups(spark, d))
 
 
 @query()
-def graph_communities(spark, d, lines=LARGE_LINES):
-    return graph.communities(_edges(spark, d, lines))
-
-
-def _over_all_lines(name):
-    """Register a graph query once more, over all lines, with its SQL without the condition on them."""
-    f, sql = query.queries[name], query.sql.get(name)
-
-    def whole(spark, d):
-        return f(spark, d, "true")
-
-    whole.__name__ = f"{name}_whole"
-    query(sql and sql.replace(f" WHERE {LARGE_LINES}", ""))(whole)
-
-
-for _name in list(query.queries):
-    _over_all_lines(_name)
+def graph_communities(spark, d):
+    return graph.communities(_edges(spark, d))
 
 
 @query("""SELECT 'PLACES' AS rel, count(DISTINCT (o_custkey, o_orderkey)) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'

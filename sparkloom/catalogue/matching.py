@@ -64,15 +64,9 @@ def join_inference(spark, d):
     return spark.createDataFrame(M.shared_keys(frames), "table string, other string, key string")
 
 
-@query("SELECT lower(string_split(text, ' ')[1]) AS question, count(*) AS hits, min(conv_id) AS first_seen FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2")
-def question_promotion(spark, d):
-    q = read(spark, d, "conversations").filter("role = 'user'").groupBy(F.lower(F.get(F.split("text", " "), F.lit(0))).alias("question"))
-    return q.agg(F.count(F.lit(1)).alias("hits"), F.min("conv_id").alias("first_seen")).filter("hits >= 2")
-
-
 @query("SELECT lower(trim(text)) AS question, count(*) AS hits, min(conv_id) AS first_seen FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
-def question_promotion_whole(spark, d):
-    """Repeated questions, each its whole text; question_promotion groups by the first word, as its SQL does."""
+def question_promotion(spark, d):
+    """Repeated questions, each its whole text."""
     q = read(spark, d, "conversations").filter("role = 'user' and text is not null").groupBy(F.lower(F.trim("text")).alias("question"))
     return q.agg(F.count(F.lit(1)).alias("hits"), F.min("conv_id").alias("first_seen")).filter("hits >= 2")
 

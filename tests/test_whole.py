@@ -29,12 +29,12 @@ def test_graphs_take_lines_of_every_quantity(spark):
         by_order.setdefault(o, set()).add(s)
     edges = sorted({e for x in by_order.values() for e in combinations(sorted(x), 2)})
     near = {s: {x for e in edges for x in e if s in e} - {s} for s in range(12)}
-    assert rows(spark, "graph_degree_whole", d) == [(s, len(x)) for s, x in near.items() if x]
-    assert rows(spark, "graph_gaps_whole", d) == [(s, len(x)) for s, x in near.items() if len(x) <= 1]
-    assert rows(spark, "graph_surprising_whole", d) == [e for e in edges if e[0] % 3 != e[1] % 3]
+    assert rows(spark, "graph_degree", d) == [(s, len(x)) for s, x in near.items() if x]
+    assert rows(spark, "graph_gaps", d) == [(s, len(x)) for s, x in near.items() if len(x) <= 1]
+    assert rows(spark, "graph_surprising", d) == [e for e in edges if e[0] % 3 != e[1] % 3]
     two = {y for x in near[1] for y in near[x]} - near[1] - {1}
-    assert rows(spark, "graph_hops_2_whole", d) == sorted([(x, 1) for x in near[1]] + [(x, 2) for x in two])
-    assert [(a, b, len(near[a] & near[b])) for a, b in edges] == [r[:3] for r in rows(spark, "graph_adamic_adar_whole", d)]
+    assert rows(spark, "graph_hops_2", d) == sorted([(x, 1) for x in near[1]] + [(x, 2) for x in two])
+    assert [(a, b, len(near[a] & near[b])) for a, b in edges] == [r[:3] for r in rows(spark, "graph_adamic_adar", d)]
 
 
 def test_more_queries_than_a_broadcast_takes(spark, monkeypatch):
@@ -49,19 +49,19 @@ def test_more_queries_than_a_broadcast_takes(spark, monkeypatch):
 def test_questions_are_whole_texts(spark):
     turns = [(1, 0, "user", "How many parts?"), (2, 0, "user", " how many PARTS? "), (3, 0, "user", "How many orders?"), (4, 0, "assistant", "How many orders?"), (5, 0, "user", None), (6, 0, "user", None)]
     d = folder(spark, conversations=("conv_id long, turn long, role string, text string", turns))
-    assert rows(spark, "question_promotion_whole", d) == [("how many parts?", 2, 1)]
+    assert rows(spark, "question_promotion", d) == [("how many parts?", 2, 1)]
 
 
 def test_titles_are_whole(spark):
     long = "The yearly report on the deliveries of all suppliers"
     html = [f"<title>{long} 2024</title>", f"<html><TITLE lang='en'>{long.upper()}:\n2024</TITLE>", f"<title>{long} 2025</title>", "<title> </title>", "<title></title>", "<p>none</p>", None]
     d = folder(spark, pages=("page_id long, url string, html string", [(i, "", h) for i, h in enumerate(html)]))
-    assert rows(spark, "doc_title_overlap_whole", d) == [("theyearlyreportonthedeliveriesofallsuppliers2024", 2)]
+    assert rows(spark, "doc_title_overlap", d) == [("theyearlyreportonthedeliveriesofallsuppliers2024", 2)]
 
 
 def test_every_identifier_divisible_by_20_is_searched(spark):
     d = folder(spark, embeddings=("vec_id long, embedding array<float>, label int", [(i, [float(i * i % 97), float(i % 13)], i % 5) for i in range(130)]))
-    for name, labels in (("vec_topk_l2_whole", range(5)), ("vec_filtered_topk_whole", (1, 3))):
+    for name, labels in (("vec_topk_l2", range(5)), ("vec_filtered_topk", (1, 3))):
         got = {(r["query_id"], r["rn"]): r["vec_id"] for r in REGISTRY.queries[name](spark, d).collect()}
         for q in range(0, 130, 20):
             near = sorted(((q * q % 97 - i * i % 97) ** 2 + (q % 13 - i % 13) ** 2, i) for i in range(130) if i % 5 in labels)
