@@ -49,9 +49,7 @@ TERMS = ["red", "blue", "widget", "ring", "bolt", "small", "sm", "or"]
 SELECT p_partkey, term FROM m WHERE rn = 1""")
 def doc_ngram_anchor(spark, d):
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    names = read(spark, d, "part").select("p_partkey", F.explode(text.fragments(F.lower("p_name"))).alias("term"))
-    best = names.join(terms, "term").groupBy("p_partkey").agg(F.min_by("term", F.struct(-F.char_length("term"), "term")).alias("term"))
-    return best
+    return text.longest_term(read(spark, d, "part"), "p_partkey", F.lower("p_name"), terms)
 
 
 @query("SELECT p_name, CAST(levenshtein(p_name, 'red widgt') AS INT) AS distance FROM (SELECT DISTINCT p_name FROM part) ORDER BY distance, p_name LIMIT 3")

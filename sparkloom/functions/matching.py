@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkloom.sources.shared import catalogue_side
+
 
 KEY = 3
 
@@ -18,11 +20,13 @@ def longest_phrase(texts: DataFrame, key: str, text: str, phrases: DataFrame) ->
     """(key, phrase, code, ambiguous): the longest of phrases (phrase, code) inside a text; ambiguous if equally long ones have other codes.
 
     Texts and phrases meet on a phrase's first characters, KEY of them or all of a shorter one; what meets is compared.
+    Texts are never broadcast.
     """
     low = texts.select(key, F.lower(text).alias("__text"))
     sizes = [r[0] for r in phrases.select(F.least(F.char_length("phrase"), F.lit(KEY)).alias("n")).filter("n > 0").distinct().collect()]  # 1 to KEY
     runs = F.array_distinct(F.flatten(F.array(*[_runs(F.col("__text"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
     keyed = phrases.select("phrase", "code", F.substr("phrase", F.lit(1), F.lit(KEY)).alias("__run"))
+    keyed = catalogue_side(keyed, "phrases")
     hits = low.select(key, "__text", F.explode(runs).alias("__run")).join(keyed, "__run").filter(F.contains("__text", F.col("phrase"))).select(key, "phrase", "code").distinct()
     best = hits.withColumn("__n", F.max(F.char_length("phrase")).over(Window.partitionBy(key))).filter(F.char_length("phrase") == F.col("__n"))
     return best.groupBy(key).agg(F.min("phrase").alias("phrase"), F.min_by("code", "phrase").alias("code"), (F.count_distinct("code") > 1).alias("ambiguous"))
@@ -37,7 +41,8 @@ def keyword_match(texts: DataFrame, key: str, words: Column, catalogue: DataFram
         raise ValueError("thresholds must be positive")
     w = texts.select(key, F.array_distinct(words).alias("__w"))
     c = catalogue.select("code", F.array_distinct("keywords").alias("__k"), "threshold")
-    sides = w.select(key, F.size("__w").alias("__nw"), F.explode("__w").alias("__x")).join(c.select("code", "threshold", F.size("__k").alias("__nk"), F.explode("__k").alias("__x")), "__x")
+    keyed = catalogue_side(c.select("code", "threshold", F.size("__k").alias("__nk"), F.explode("__k").alias("__x")), "keywords")
+    sides = w.select(key, F.size("__w").alias("__nw"), F.explode("__w").alias("__x")).join(keyed, "__x")
     rows = sides.groupBy(key, "code", "threshold", "__nw", "__nk").agg(F.count(F.lit(1)).alias("__both"))
     rows = rows.withColumn("confidence", F.col("__both") / (F.col("__nw") + F.col("__nk") - F.col("__both"))).filter(F.col("confidence") >= F.col("threshold"))
     return rows.select(key, "code", F.round("confidence", 4).alias("confidence"))
@@ -52,7 +57,8 @@ def resolve(names: DataFrame, entities: DataFrame, code: str, name: str) -> Data
     sizes = [r[0] for r in names.select(F.least(F.char_length("input"), F.lit(KEY)).alias("n")).filter("n > 0").distinct().collect()]  # 1 to KEY
     runs = F.array_distinct(F.flatten(F.array(*[_runs(F.col("name"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
     keyed = e.select("code", "name", F.explode(runs).alias("__run"))
-    inside = names.withColumn("__run", F.substr("input", F.lit(1), F.lit(KEY))).join(keyed, "__run").filter(F.contains("name", "input")).select("input", F.lit(3).alias("rank"), "code").distinct()
+    asked = catalogue_side(names.select("input", F.substr("input", F.lit(1), F.lit(KEY)).alias("__run")), "inputs")
+    inside = keyed.join(asked, "__run").filter(F.contains("name", "input")).select("input", F.lit(3).alias("rank"), "code").distinct()
     found = by_code.unionByName(by_name).unionByName(inside)
     best = found.withColumn("__r", F.min("rank").over(Window.partitionBy("input"))).filter("rank = __r")
     g = best.groupBy("input").agg(F.min("rank").alias("rank"), F.min("code").alias("code"), F.count(F.lit(1)).alias("candidates"))

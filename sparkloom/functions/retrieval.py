@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkloom.sources.shared import catalogue_side
+
 #: Weights of a name, of an alias, and how much less a compound identifier counts that is there by its parts.
 NAME, ALIAS, BY_PARTS = 3, 4, 1
 SHORTEST = 2
@@ -44,7 +46,7 @@ def term_matches(texts: DataFrame, key: str, text: str, terms: DataFrame) -> Dat
     words = texts.select(key, low.alias("__text"), F.array_distinct(_words(low)).alias("__words"))
     singular = F.transform("__words", lambda w: F.regexp_replace(w, "s$", ""))
     keys = words.withColumn("word", F.explode(F.array_distinct(F.concat("__words", singular, _pairs_of_ideographs(F.col("__text"))))))
-    met = keys.join(t, "word").dropDuplicates([key, "code", "term"])
+    met = keys.join(catalogue_side(t, "terms"), "word").dropDuplicates([key, "code", "term"])
     quoted = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))
     plural = F.when(F.char_length("term") >= 3, "s?").otherwise("")
     bounded = F.expr("regexp_like(__text, __pattern)")

@@ -7,6 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkloom.sources.shared import catalogue_side
+
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, paragraph_no from 0, paragraph, section): blocks between blank lines; a markdown heading opens a section."""
@@ -64,6 +66,12 @@ def fragments(text: Column, low: int = 2, high: int = 6) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(low, high + 1)])))
 
 
+def longest_term(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """(key, term): the longest of terms (term), of 2 to 6 characters, inside a text, the first of equally long ones. Texts are never broadcast."""
+    found = df.select(key, F.explode(fragments(text)).alias("term")).join(catalogue_side(terms.select("term"), "terms"), "term")
+    return found.groupBy(key).agg(F.min_by("term", F.struct(-F.char_length("term"), "term")).alias("term"))
+
+
 def token_estimate(text: Column) -> Column:
     """Ideographs, and a quarter of the other characters."""
     ideographs = F.char_length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]", ""))
