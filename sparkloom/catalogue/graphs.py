@@ -17,9 +17,7 @@ w AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), deg AS (SELECT a AS node
 
 
 def _edges(spark, d):
-    x = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    y = x.select("l_orderkey", F.col("l_suppkey").alias("other"))
-    return graph.undirected(x.join(y, "l_orderkey").filter("l_suppkey < other"), "l_suppkey", "other")
+    return graph.sharing(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 def _groups(spark, d):
