@@ -67,3 +67,36 @@ def test_distinct_counts_send_a_line_once(spark):
     want = {(s, m): [x for x in met if x[:2] == (s, m)] for s, m in {x[:2] for x in met}}
     got = {(r["l_suppkey"], r["year_month"]): tuple(r)[2:] for r in df.collect()}
     assert got == {k: (len({x[2] for x in v}), len({x[3] for x in v} - {None}), len(v), float(len(v)), 2.5 * len(v)) for k, v in want.items()}
+
+
+def test_pairs_are_dealt_in_parts_that_grow_with_the_table(spark, monkeypatch):
+    from itertools import combinations
+
+    from sparkloom.operators import graph
+
+    rows = [(g, n) for g in range(40) for n in {g % 7, g * g % 11, 3 * g % 5}] + [(0, 0), (0, None), (None, 1)]
+    df = spark.createDataFrame(rows, "g long, n long")
+    monkeypatch.setattr(graph, "ROWS", 10)
+    edges = graph.sharing(df, "g", "n")
+    by = {g: {n for h, n in rows if h == g and n is not None} for g in range(40)}
+    assert sorted(map(tuple, edges.collect())) == sorted({e for x in by.values() for e in combinations(sorted(x), 2)})
+    assert edges.rdd.getNumPartitions() >= 4 * len(rows) // 10
+
+
+def test_nearest_rows_of_copies_ties_and_odd_vectors(spark, monkeypatch):
+    """Distances come from products of blocks of rows; copies, ties and what has no distance must not change who is nearest."""
+    from sparkloom.operators import vectors
+
+    for name, size in (("ROWS", 16), ("QUERIES", 3), ("PAIRS", 10), ("BROADCAST_QUERIES", 11)):
+        monkeypatch.setattr(vectors, name, size)
+    points = {i: [1e4 + i * i % 5, float(i * 7 % 3)] if i % 3 else [0.25, 0.5] for i in range(90)}
+    rows = [*points.items(), (90, None), (91, [1.0, None]), (92, [0.25])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in vectors.top_k(v, v.filter("vec_id % 4 = 0"), 5, places=4).select("query_id", "rn", "vec_id", "distance").collect())
+    want = []
+    for q in range(0, 92, 4):
+        if q in points:
+            near = sorted((round(sum((x - y) ** 2 for x, y in zip(points[q], p)) ** 0.5, 4), i) for i, p in points.items())
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:5])]
+    want += [(92, 1, 92, 0.0)]
+    assert got == sorted(want)
