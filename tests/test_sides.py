@@ -100,3 +100,24 @@ def test_nearest_rows_of_copies_ties_and_odd_vectors(spark, monkeypatch):
             want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:5])]
     want += [(92, 1, 92, 0.0)]
     assert got == sorted(want)
+
+
+def test_common_neighbours_are_scored_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the same; no path of two edges is a row of a join."""
+    import math
+    import random
+
+    from sparkloom.operators import graph
+
+    random.seed(5)
+    edges = sorted({(min(e), max(e)) for e in ((random.randrange(30), random.randrange(30)) for _ in range(130)) if e[0] != e[1]} | {(100, 101), (5, 100), (200, 201)})
+    near = {n: {x for e in edges for x in e if n in e} - {n} for e in edges for n in e}
+    want = [(a, b, len(near[a] & near[b]), sum(1 / math.log(len(near[c])) for c in near[a] & near[b])) for a, b in edges]
+    for nodes, ends, columns in ((1_000, 10**6, 1_024), (3, 10**6, 4), (1_000, 20, 7)):
+        monkeypatch.setattr(graph, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(graph, "BLOCK_ENDS", ends)
+        monkeypatch.setattr(graph, "COLUMNS", columns)
+        df = graph.common_neighbours(spark.createDataFrame(edges, "a long, b long"))
+        assert "LeftSemi" not in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want, strict=True))
