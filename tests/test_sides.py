@@ -121,3 +121,16 @@ def test_common_neighbours_are_scored_in_blocks(spark, monkeypatch):
         assert "LeftSemi" not in df._jdf.queryExecution().executedPlan().toString()
         got = sorted(map(tuple, df.collect()))
         assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_pairs_of_groups_are_made_once(spark):
+    from sparkloom.operators import knowledge as K
+
+    rows = [(i, i % 4 if i % 5 else None, i % 3 if i % 7 else None) for i in range(30)]
+    nodes = spark.createDataFrame(rows, "node long, source long, dimension long")
+    edges = spark.createDataFrame([(i, j) for i in range(30) for j in range(i + 1, 30) if i * j % 6 == 1 or i + j == 9], "a long, b long")
+    df = K.relevance_in_groups(nodes, edges)
+    pairs = spark.createDataFrame([(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] is not None and x[1] == y[1] or x[2] is not None and x[2] == y[2])], "a long, b long")
+    want = K.relevance(pairs, edges, nodes.select("node", "source"), nodes.select("node", "dimension"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
+    assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
