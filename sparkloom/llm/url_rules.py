@@ -2,11 +2,12 @@
 
 Mining: a labelled URL is a transaction of tokens (host suffixes, path parts, file ending, query keys, scheme) and, if
 it is to be blocked, of a label item. Tokens that are too rare for a rule are left out, and tokens that stand in the
-same URLs are one item, so a template of many parts makes few itemsets; of a URL's items the MOST_ITEMS with the
-strongest link to the label are mined, which bounds its itemsets. Spark's FPGrowth finds the combinations of which at
+same URLs are one item, so a template of many parts makes few itemsets. The combinations sought are those of which at
 least min_support of all labelled URLs and min_confidence of those that match are blocked; a rule whose part has the
-same confidence or more goes. There are at most 1/min_support frequent single tokens a token kind, and rules have at
-most max_tokens tokens, so the number of rules is bounded by these parameters, not by the data.
+same confidence or more goes. Spark's FPGrowth, whose itemsets have any length, finds them in the URLs of at most
+MOST_ITEMS items. URLs of more items are searched level by level up to max_tokens tokens. A combination that reaches
+the threshold over both reaches a share of it in one, the shares adding up to the whole, so what either finds at its
+share is all there is; it is then counted over all URLs. Of a URL's items none is left out.
 
 A quarter of the labelled URLs, by hash, is not mined: a rule that matches some of them, of which fewer than
 min_confidence are blocked, goes, and the others carry how they did.
@@ -18,13 +19,15 @@ joined by shuffle. Each distinct URL is matched once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import broadcast_if_small, saved
 
 BLOCKED = "label:block"
-#: Items of a URL that are mined.
+#: Items of a URL up to which FP-growth takes it; the sets of a longer one double with each item, so it is searched by levels.
 MOST_ITEMS = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,35 +81,71 @@ def _items(rows: DataFrame, least: float) -> DataFrame:
     return same.select("item", "n", "hits", F.explode("token").alias("token"))
 
 
+def _by_levels(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """The sets (tokens) of at most so many items that at least so many rows (row, items) have. A set is made of two that differ in their last item and are kept."""
+    none = F.array().cast("array<string>")
+    seen, out = rows.select("row", none.alias("head"), F.explode("items").alias("last")), None
+    for size in range(1, most + 1):
+        kept = saved(seen.groupBy("head", "last").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("head", "last"), "level")
+        grown = F.concat("head", F.array("last"))
+        out = kept.select(grown.alias("tokens")) if out is None else out.unionByName(kept.select(grown.alias("tokens")))
+        if size < most:
+            seen = saved(seen.join(broadcast_if_small(kept), ["head", "last"]), "held-sets")
+            seen = seen.join(seen.withColumnRenamed("last", "next"), ["row", "head"]).filter("last < next").select("row", grown.alias("head"), F.col("next").alias("last"))
+    return out
+
+
+def _counted(sets: DataFrame, held: DataFrame, items: DataFrame) -> DataFrame:
+    """(tokens, hits, of): how many rows (blocked, items) have all items of a set, and the blocked ones. A set is looked up by its rarest item (item, n)."""
+    keyed = sets.select("tokens", F.explode("tokens").alias("item")).join(items, "item")
+    index = saved(keyed.groupBy("tokens").agg(F.min(F.struct("n", "item"))["item"].alias("item")), "set-index")
+    met = held.select("blocked", "items", F.explode("items").alias("item")).join(broadcast_if_small(index), "item")
+    met = met.filter(F.size(F.array_intersect("items", "tokens")) == F.size("tokens"))
+    return met.groupBy("tokens").agg(F.count_if("blocked").alias("hits"), F.count(F.lit(1)).alias("of"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 3, min_hits: int = 5) -> DataFrame:
     """Rules (tokens array<string>, confidence, support) from rows (url, blocked boolean). Null urls and labels don't count, repeated rows do.
 
-    Every rule of at most max_tokens tokens that reaches the thresholds is there but for those with a part as good; where a
-    URL has more than MOST_ITEMS items, those of the others are not. An empty table and one without blocked rows give none.
+    Every rule of at most max_tokens tokens that reaches the thresholds is there but for those with a part as good. An
+    empty table and one without blocked rows give none. The sets of a URL of more than MOST_ITEMS items are at most the
+    max_tokens-th power of its items, and only those that enough such URLs have are held.
     """
     rows = labelled.filter("url is not null and blocked is not null")
     rows = saved(rows.select(F.monotonically_increasing_id().alias("row"), "blocked", tokens(F.col("url")).alias("tokens")), "transactions")
     n, bad = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
     if not bad:
         return rows.sparkSession.createDataFrame([], RULE)
-    least = max(min_hits - 0.5, min_support * n)
+    least = math.ceil(max(min_hits - 0.5, min_support * n))
     items = saved(_items(rows, least), "items")
     if items.isEmpty():
         return rows.sparkSession.createDataFrame([], RULE)
-    # how far an item's share of blocked rows is from that of all, in standard errors
-    weight = F.abs(F.col("hits") / F.col("n") - F.lit(bad / n)) * F.sqrt("n")
-    mine_ = items.filter("token = item").select("item", weight.alias("weight"))
-    held = rows.select("row", "blocked", F.explode("tokens").alias("item")).join(broadcast_if_small(saved(mine_, "weights")), "item")
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("weight", "item")))), 1, MOST_ITEMS)
-    baskets = held.groupBy("row", "blocked").agg(F.transform(best, lambda x: x["item"]).alias("items"))
-    baskets = saved(baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")), "baskets")
-    support = min(1.0, min_support * n / baskets.count())
-    sets = saved(FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).freqItemsets, "itemsets")
-    blocked = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1) & (F.size("items") <= max_tokens + 1))
-    blocked = blocked.select(F.array_sort(F.array_remove("items", BLOCKED)).alias("tokens"), F.col("freq").alias("hits"))
-    every = sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("of"))
-    rules = blocked.join(every, "tokens").select("tokens", (F.col("hits") / F.col("of")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"))
-    rules = saved(rules.filter((F.col("confidence") >= min_confidence) & (F.col("support") * n >= min_hits - 0.5)), "rules")
+    named = saved(items.filter("token = item").select("item", "n"), "item-counts")
+    held = rows.select("row", "blocked", F.explode("tokens").alias("item")).join(broadcast_if_small(named.select("item")), "item")
+    held = saved(held.groupBy("row", "blocked").agg(F.sort_array(F.collect_list("item")).alias("items")), "held-items")
+    long = F.size("items") > MOST_ITEMS
+    n_short, n_long, bad_long = held.agg(F.count_if(~long), F.count_if(long), F.count_if(long & F.col("blocked"))).first()
+    # what has fewer blocked long rows than this share has the rest of the threshold in short ones
+    share = (least + 1) // 2
+    rest = least - min(bad_long, share - 1)
+    blocked = every = rows.sparkSession.createDataFrame([], "tokens array<string>, freq long")
+    if n_short:
+        baskets = held.filter(~long).select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items"))
+        # half a row less, so that no rounding of the quotient takes a set of just so many rows away
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (rest - 0.5) / n_short), minConfidence=min_confidence).fit(saved(baskets, "baskets"))
+        sets = saved(model.freqItemsets, "itemsets")
+        blocked = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1) & (F.size("items") <= max_tokens + 1))
+        blocked = blocked.select(F.array_sort(F.array_remove("items", BLOCKED)).alias("tokens"), "freq")
+        every = sets.select(F.array_sort("items").alias("tokens"), "freq")
+    if n_long:
+        found = blocked.select("tokens")
+        if bad_long >= share:
+            found = found.unionByName(_by_levels(held.filter(long & F.col("blocked")).select("row", "items"), share, max_tokens)).distinct()
+        counts = _counted(saved(found, "found"), held, named)
+    else:
+        counts = blocked.withColumnRenamed("freq", "hits").join(every.withColumnRenamed("freq", "of"), "tokens")
+    rules = counts.filter(F.col("hits") >= least).select("tokens", (F.col("hits") / F.col("of")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"))
+    rules = saved(rules.filter(F.col("confidence") >= min_confidence), "rules")
     # a rule goes if dropping one of its tokens leaves a rule with the same confidence or more
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
     parts = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("out"))
