@@ -20,6 +20,7 @@ joined by shuffle. Each distinct URL is matched once.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,6 +30,8 @@ from .common import broadcast_if_small, saved
 BLOCKED = "label:block"
 #: Items of a URL up to which FP-growth takes it; the sets of a longer one double with each item, so it is searched by levels.
 MOST_ITEMS = 12
+#: Labelled URLs that a task mines.
+PART_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,27 +84,37 @@ def _items(rows: DataFrame, least: float) -> DataFrame:
     return same.select("item", "n", "hits", F.explode("token").alias("token"))
 
 
+def _grown(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(blocked, tokens, rest) from rows (blocked, items in order): the sets of a row of one item more than there are levels, each with the items behind its last.
+
+    Levels are tables of sets (tokens): a row's set grows only if it is in the level of its size. Nothing but these sets meets the rows.
+    """
+    step = lambda head, items: (F.posexplode(items).alias("at", "last"), head.alias("head"), items.alias("from"))
+    held = [F.concat("head", F.array("last")).alias("tokens"), F.slice("from", F.col("at") + 2, F.size("from")).alias("rest")]
+    seen = rows.select("blocked", *step(F.array().cast("array<string>"), F.col("items"))).select("blocked", *held)
+    for kept in levels:
+        seen = seen.join(broadcast_if_small(kept), "tokens").select("blocked", *step(F.col("tokens"), F.col("rest"))).select("blocked", *held)
+    return seen
+
+
 def _by_levels(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """The sets (tokens) of at most so many items that at least so many rows (row, items) have. A set is made of two that differ in their last item and are kept."""
-    none = F.array().cast("array<string>")
-    seen, out = rows.select("row", none.alias("head"), F.explode("items").alias("last")), None
-    for size in range(1, most + 1):
-        kept = saved(seen.groupBy("head", "last").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("head", "last"), "level")
-        grown = F.concat("head", F.array("last"))
-        out = kept.select(grown.alias("tokens")) if out is None else out.unionByName(kept.select(grown.alias("tokens")))
-        if size < most:
-            seen = saved(seen.join(broadcast_if_small(kept), ["head", "last"]), "held-sets")
-            seen = seen.join(seen.withColumnRenamed("last", "next"), ["row", "head"]).filter("last < next").select("row", grown.alias("head"), F.col("next").alias("last"))
-    return out
+    """The sets (tokens) of at most so many items that at least so many rows (blocked, items) have."""
+    levels = []
+    for _ in range(most):
+        counts = _grown(rows, levels).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+        levels.append(saved(counts.filter(F.col("n") >= least).select("tokens"), "level"))
+    return reduce(DataFrame.unionByName, levels)
 
 
-def _counted(sets: DataFrame, held: DataFrame, items: DataFrame) -> DataFrame:
-    """(tokens, hits, of): how many rows (blocked, items) have all items of a set, and the blocked ones. A set is looked up by its rarest item (item, n)."""
-    keyed = sets.select("tokens", F.explode("tokens").alias("item")).join(items, "item")
-    index = saved(keyed.groupBy("tokens").agg(F.min(F.struct("n", "item"))["item"].alias("item")), "set-index")
-    met = held.select("blocked", "items", F.explode("items").alias("item")).join(broadcast_if_small(index), "item")
-    met = met.filter(F.size(F.array_intersect("items", "tokens")) == F.size("tokens"))
-    return met.groupBy("tokens").agg(F.count_if("blocked").alias("hits"), F.count(F.lit(1)).alias("of"))
+def _counted(sets: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(tokens, hits, of): how many rows (blocked, items) have all items of a set of at most so many, and the blocked ones. Sets are in order; their beginnings are counted too."""
+    levels, counts = [], []
+    for size in range(1, most + 1):
+        level = saved(sets.filter(F.size("tokens") >= size).select(F.slice("tokens", 1, size).alias("tokens")).distinct(), "beginnings")
+        met = _grown(rows, levels).join(broadcast_if_small(level), "tokens")
+        counts.append(met.groupBy("tokens").agg(F.count_if("blocked").alias("hits"), F.count(F.lit(1)).alias("of")))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, counts)
 
 
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 3, min_hits: int = 5) -> DataFrame:
@@ -120,8 +133,10 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     items = saved(_items(rows, least), "items")
     if items.isEmpty():
         return rows.sparkSession.createDataFrame([], RULE)
-    named = saved(items.filter("token = item").select("item", "n"), "item-counts")
-    held = rows.select("row", "blocked", F.explode("tokens").alias("item")).join(broadcast_if_small(named.select("item")), "item")
+    named = saved(items.filter("token = item").select("item"), "item-names")
+    held = rows.select("row", "blocked", F.explode("tokens").alias("item")).join(broadcast_if_small(named), "item")
+    # a row's sets are many times its bytes, so rows are dealt by number
+    held = held.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)), "row")
     held = saved(held.groupBy("row", "blocked").agg(F.sort_array(F.collect_list("item")).alias("items")), "held-items")
     long = F.size("items") > MOST_ITEMS
     n_short, n_long, bad_long = held.agg(F.count_if(~long), F.count_if(long), F.count_if(long & F.col("blocked"))).first()
@@ -140,8 +155,8 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     if n_long:
         found = blocked.select("tokens")
         if bad_long >= share:
-            found = found.unionByName(_by_levels(held.filter(long & F.col("blocked")).select("row", "items"), share, max_tokens)).distinct()
-        counts = _counted(saved(found, "found"), held, named)
+            found = found.unionByName(_by_levels(held.filter(long & F.col("blocked")).select("blocked", "items"), share, max_tokens)).distinct()
+        counts = _counted(saved(found, "found"), held, max_tokens)
     else:
         counts = blocked.withColumnRenamed("freq", "hits").join(every.withColumnRenamed("freq", "of"), "tokens")
     rules = counts.filter(F.col("hits") >= least).select("tokens", (F.col("hits") / F.col("of")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"))
