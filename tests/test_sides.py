@@ -134,3 +134,39 @@ def test_pairs_of_groups_are_made_once(spark):
     want = K.relevance(pairs, edges, nodes.select("node", "source"), nodes.select("node", "dimension"))
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
     assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanged(plan) -> int:
+    """Bytes that the exchanges of a plan that has run were given."""
+    kind = plan.getClass().getSimpleName()
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "ResultQueryStageExec": "plan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan"}.get(kind)
+    if inner:
+        return exchanged(getattr(plan, inner)())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_lists_of_neighbours_are_sent_packed_and_to_few_blocks(spark, monkeypatch):
+    """Blocks of 1,000 nodes, or of a part's nodes, sent each list of 16 bytes an entry to each of them."""
+    import random
+
+    from sparkloom.operators import graph
+
+    random.seed(7)
+    edges = sorted({(min(e), max(e)) for e in ((random.randrange(2_000), random.randrange(2_000)) for _ in range(60_000)) if e[0] != e[1]})
+    df = graph.common_neighbours(spark.createDataFrame(edges, "a long, b long"))
+    near = {n: set() for n in range(2_000)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    assert {(r["a"], r["b"]): r["common"] for r in df.collect()} == {(a, b): len(near[a] & near[b]) for a, b in edges}
+    assert exchanged(df._jdf.queryExecution().executedPlan()) < 45 * 2 * len(edges)
+
+
+def test_numbers_are_packed_without_loss():
+    import numpy as np
+
+    from sparkloom.operators import graph
+
+    for x in ([], [0], [5, 6, 7], [0, 300, 70_000, 2**39], [2**40 - 1]):
+        assert graph.unpacked(graph.packed(np.array(x, dtype="int64"))).tolist() == x
