@@ -170,3 +170,23 @@ def test_numbers_are_packed_without_loss():
 
     for x in ([], [0], [5, 6, 7], [0, 300, 70_000, 2**39], [2**40 - 1]):
         assert graph.unpacked(graph.packed(np.array(x, dtype="int64"))).tolist() == x
+
+
+def test_pairs_of_groups_are_no_rows_of_an_exchange(spark, monkeypatch):
+    """All pairs of a group were dealt by their ends to meet their scores; now blocks of nodes are."""
+    from sparkloom.operators import knowledge as K
+
+    monkeypatch.setattr(K, "BLOCK", 50)
+    rows = [(i, i % 2 if i % 31 else None, f"d{i % 3}" if i % 17 else None) for i in range(400)]
+    nodes = spark.createDataFrame(rows, "node long, source long, dimension string")
+    edges = spark.createDataFrame([(i, j) for i in range(400) for j in range(i + 1, 400) if i * j % 61 == 5], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = K.relevance_in_groups(nodes, edges)
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = spark.createDataFrame([(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] is not None and x[1] == y[1] or x[2] is not None and x[2] == y[2])], "a long, b long")
+    want = K.relevance(pairs, edges, nodes.select("node", "source"), nodes.select("node", "dimension"))
+    assert got == sorted(map(tuple, want.select(*df.columns).collect()))
+    assert exchanged(df._jdf.queryExecution().executedPlan()) < 25 * len(got)
